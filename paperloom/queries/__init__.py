@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packed", "traffic")
+MODULES = ("packed", "traffic", "invoices")
 
 
 def registry() -> tuple[dict, dict]:
