@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packed", "traffic", "invoices")
+MODULES = ("packed", "traffic", "invoices", "pages")
 
 
 def registry() -> tuple[dict, dict]:
