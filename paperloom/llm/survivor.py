@@ -101,21 +101,25 @@ def invoices(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     # (preference, key) of a row; only keys under which exactly one sure invoice is known count
     contents = [("day", "pre", "tax", "goods"), ("day", "total", "goods"), ("day", "pre", "tax", "seller_tax"), ("day", "pre", "tax", "buyer_tax"), ("day", "pre", "tax")]
 
-    def keys(df: DataFrame) -> DataFrame:
-        with_no = df.where("no IS NOT NULL").select("id", "label", "scanned_at", *{c for x in contents for c in x}, F.explode(slips("no")).alias("slip"))
-        near = with_no.select("id", "label", F.explode(F.array(*(
-            F.struct(F.lit(i).alias("rank"), _key(f"s{i}", *c, "slip").alias("key")) for i, c in enumerate(contents)))).alias("k"))
-        plain = df.select("id", "label", F.explode(F.array(*(
-            F.struct(F.lit(10 + i).alias("rank"), _key(f"c{i}", *c).alias("key")) for i, c in enumerate(contents)))).alias("k"))
-        return near.unionByName(plain).select("id", "label", "k.rank", "k.key").where("key IS NOT NULL")
-
-    asked = keys(weak)
-    # a number that is there must be near; contents alone speak only for rows without a number
-    no_number = weak.where("no IS NULL OR length(no) < 6").select("id")
-    asked = cut(asked.where("rank < 10").unionByName(asked.where("rank >= 10").join(no_number, "id", "left_semi")))
-    # only rows whose date and amounts occur among the weak ones need keys at all
-    days = weak.select("day").where("day IS NOT NULL").distinct()
-    known = keys(rest.join(days, "day", "left_semi")).groupBy("key").agg(F.min("label").alias("to"), F.max("label").alias("max_to"))
+    def plain_keys(df: DataFrame) -> DataFrame:
+        return df.select("id", "label", F.explode(F.array(*(
+            F.struct(F.lit(10 + i).alias("rank"), _key(f"c{i}", *c).alias("key")) for i, c in enumerate(contents)))).alias("k")).select(
+            "id", "label", "k.rank", "k.key").where("key IS NOT NULL")
+
+    def near_keys(df: DataFrame) -> DataFrame:
+        with_no = df.where("no IS NOT NULL").select("id", "label", *{c for x in contents for c in x}, F.explode(slips("no")).alias("slip"))
+        return with_no.select("id", "label", F.explode(F.array(*(
+            F.struct(F.lit(i).alias("rank"), _key(f"s{i}", *c, "slip").alias("key")) for i, c in enumerate(contents)))).alias("k")).select(
+            "id", "label", "k.rank", "k.key").where("key IS NOT NULL")
+
+    # contents alone speak only for rows without a number; a number that is there must be near
+    no_number = weak.where("no IS NULL OR length(no) < 6")
+    asked = cut(near_keys(weak).unionByName(plain_keys(no_number)))
+    # sure rows are looked at only if their contents occur among the weak ones
+    wanted = plain_keys(weak).select("key").distinct()
+    met = cut(plain_keys(rest).join(wanted, "key", "left_semi"))
+    near = near_keys(rest.join(met.select("id").distinct(), "id", "left_semi"))
+    known = near.unionByName(met).groupBy("key").agg(F.min("label").alias("to"), F.max("label").alias("max_to"))
     known = known.where("to = max_to").select("key", "to")
     attached = cut(
         asked.join(known, "key").groupBy("label")
