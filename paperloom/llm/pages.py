@@ -163,8 +163,8 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for plain, open_, after, nxt, furniture in zip(batch["plain"], batch["open"], batch["after"], batch["next"], batch["furniture"]):
             if not plain:
                 continue
-            for word, _ in words_of(plain, open_, after, nxt):
-                seen["W", word, ""] += 1
+            for word, at in words_of(plain, open_, after, nxt):
+                seen["W" if at >= 0 else "J", word, ""] += 1  # broken words are no evidence of how a word is written
             if not furniture:
                 for m in _COMPOUND.finditer(plain):
                     seen["C", m[0].lower(), ""] += 1
@@ -208,8 +208,8 @@ def _retrieve(key: tuple, words: pd.DataFrame, known: pd.DataFrame) -> pd.DataFr
 
 def misread_words(counts: DataFrame) -> DataFrame:
     """(word, right): words that are misreadings of known ones by substitutions that recur."""
-    words = cut(counts.where("kind = 'W'").select(F.col("key").alias("word"), "n"))
-    known = words.where((F.col("n") >= KNOWN) & F.col("word").rlike("^[a-zà-ɏ]+$") & (F.length("word") > 2))
+    words = cut(counts.where("kind IN ('W', 'J')").groupBy(F.col("key").alias("word")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("kind") == "W", F.col("n")).otherwise(0)).alias("unbroken")))
+    known = words.where((F.col("unbroken") >= KNOWN) & F.col("word").rlike("^[a-zà-ɏ]+$") & (F.length("word") > 2))
     asked = words.where(F.length("word") > 2)
     shards = max(1, -(-known.count() // SHARD))
     parts = max(1, -(-asked.count() // QUERIES))
@@ -346,8 +346,7 @@ def hyphens(laid: DataFrame, counts: DataFrame) -> DataFrame:
     e = ends.join(n("W", "word", "n_word"), "word", "left").join(n("C", "compound", "n_compound"), "compound", "left")
     e = e.join(n("W", "first", "n_first"), "first", "left").join(n("W", "second", "n_second"), "second", "left")
     z = lambda c: F.coalesce(c, F.lit(0))
-    # the joined word was counted here at least once itself
-    word, compound = z("n_word") - 1, z("n_compound")
+    word, compound = z("n_word"), z("n_compound")
     both_known = (z("n_first") >= KNOWN) & (z("n_second") >= KNOWN)
     added = F.when(F.col("mark") != "-", True).when(F.col("head").rlike("^[0-9]+$") | F.col("tail").rlike("^[0-9]+$"), False).when(
         word > compound, True).when(compound > word, False).when(F.col("tail").rlike("^[A-ZÀ-Þ]"), False).otherwise(~both_known)
