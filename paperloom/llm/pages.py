@@ -59,6 +59,8 @@ _CODE = re.compile(r"(?<![A-Za-z0-9])[0-9A-Za-z]{18}(?![A-Za-z0-9])")
 # Letters taken for digits.
 _AS_DIGIT = str.maketrans("OoIlZS", "001125")
 
+_WIDE = str.maketrans(",;:?!", "，；：？！")
+
 # What stands around a page's number.
 _PAGE = re.compile(
     r"(?:[-–—·.|/\s\[\]()]|第|页|頁|共|总|之|p(?:age|g|p)?\.?|of|seite|blatt|von|s\.|no\.?)*"
@@ -466,9 +468,12 @@ def reflow(parts: list[tuple[str, str | None, str | None]]) -> str:
                 out, text = out[: start.start()] + word, text[head.end() :]
         if out and not glue:
             a, b = out[-1], text[:1]
-            out += " " if a < "⺀" and b < "⺀" else ""
+            compound = re.search(r"[A-Za-zÀ-ɏ]-$", out) and b.islower() and not re.match(r"(?:und|oder|and|or)\b", text)
+            out += " " if a < "⺀" and b < "⺀" and not compound else ""
         out += text
         glue, swap = joined is not None, whole
         if glue:
             out = re.sub(f"[{_HYPHEN}]+$", "", out.rstrip())
-    return out
+    # marks beside ideographs get back the width that the canonical form took
+    out = re.sub(r"(?<=[一-鿿])[,;:?!](?=[一-鿿0-9]|$)", lambda m: m[0].translate(_WIDE), out)
+    return re.sub(r"(?<=[一-鿿])\)", "）", re.sub(r"\((?=[一-鿿])", "（", out))
