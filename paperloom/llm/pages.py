@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperloom.functions.checksum import ALPHABET, WEIGHTS
 from paperloom.llm.canon import canonical, canonical_udf, per_distinct
@@ -32,14 +33,14 @@ from paperloom.runtime import cut, join_sized
 
 #: Heights of the head and foot zones; height of furniture against the scan's usual line.
 HEAD, FOOT, SMALL = 0.95, 0.045, 0.85
-#: A word is known from so many occurrences; a slip is so many times rarer than its right form.
-KNOWN, RARER = 5, 20.0
+#: A word is known from so many occurrences; a slip is so many times rarer than its right form, less if it has signs no word has.
+KNOWN, RARER, ODDER = 5, 20.0, 4.0
 #: A surrounding tells a character if seen so often with such a share; the doubted one has at most so much.
 SEEN, SURE, DOUBT, BACKED = 20, 0.9, 0.04, 0.2
 #: A substitution is a misreading if it recurs in so many words or surroundings.
 RECURS = 3
 #: A character whose occurrences are nearly all misread is one wherever it stands.
-ALWAYS = 0.7
+ALWAYS = 0.5
 #: Words a trie holds at most, queries against it in one task, bits of the filter sent to all tasks.
 SHARD, QUERIES, BITS = 200_000, 20_000, 1 << 23
 #: Pages whose paragraphs are numbered in one task.
@@ -50,10 +51,12 @@ DISTANCE, STRETCH = 2, 2
 _HYPHEN = "-‐‑¬­"
 _WORD = re.compile(r"[A-Za-zÀ-ɏ][A-Za-zÀ-ɏ0-9!|$]*[A-Za-zÀ-ɏ0-9]|[0-9!|$][A-Za-zÀ-ɏ0-9!|$]*[A-Za-zÀ-ɏ][A-Za-zÀ-ɏ0-9]*")
 _COMPOUND = re.compile(r"[A-Za-zÀ-ɏ]+(?:-[A-Za-zÀ-ɏ]+)+")
+_ODD = re.compile("[0-9!|$]")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _HAN = re.compile("[一-鿿]")
 _DIGITS = re.compile(r"\d+")
 _NUMBER = re.compile(r"(?<![A-Za-zÀ-ɏ0-9])[0-9OoIlZS][0-9OoIlZS.,:/-]*[0-9OoIlZS](?![A-Za-zÀ-ɏ0-9])")
+_UNIT = re.compile(r"(?<![A-Za-zÀ-ɏ0-9])(?=[0-9OoIlZS]*[0-9])[0-9OoIlZS]*[OoIlZS][0-9OoIlZS]*(?=[gG](?![A-Za-z0-9]))")
 _LONE = re.compile(r"(?<=[一-鿿])[OoIlZS](?=[年月日号页条份张箱个元天家次种台])")
 _CODE = re.compile(r"(?<![A-Za-z0-9])[0-9A-Za-z]{18}(?![A-Za-z0-9])")
 # Letters taken for digits.
@@ -89,8 +92,6 @@ def _masked(text: str | None) -> str | None:
 
 def laid_out(lines: DataFrame) -> DataFrame:
     """Lines with plain text, furniture kinds, the hyphen left at the end, and the next line of the text."""
-    from pyspark.sql import types as T
-
     base = lines.select("line_id", "scan_id", "page_no", "line_idx", "text", "x", "y", "height", canonical_udf("text").alias("plain"))
     base = cut(base.withColumn("zone", F.coalesce((F.col("y") >= HEAD) | (F.col("y") <= FOOT), F.lit(False))))
     usual = cut(base.where("NOT zone").groupBy("scan_id").agg(F.percentile_approx("height", 0.5).alias("usual")))
@@ -102,21 +103,23 @@ def laid_out(lines: DataFrame) -> DataFrame:
     zone = zone.withColumn("page_only", F.col("furniture") & per_distinct(page_only, T.BooleanType())("plain")).drop("mask", "usual", "again")
     rest = base.where("NOT zone").withColumn("furniture", F.lit(False)).withColumn("page_only", F.lit(False))
     every = zone.unionByName(rest)
-    body = every.where("NOT furniture AND length(plain) > 0")
+    # the hyphen a line ends with after a letter; the canonical form keeps all but the soft one
+    bare = F.regexp_replace(F.coalesce("text", F.lit("")), "[\\s   　​-‍⁠﻿]+$", "")
+    mark = F.when(F.col("plain").rlike("[A-Za-zÀ-ɏ!|0-9][-‐‑¬]$"), F.right("plain", F.lit(1))).when(
+        bare.rlike("[A-Za-zÀ-ɏ!|0-9]\u00ad$"), F.lit("\u00ad")).otherwise("")
+    body = every.where("NOT furniture AND length(plain) > 0").withColumn("mark", mark)
     order = Window.partitionBy("scan_id", "page_no").orderBy("line_idx", "line_id")
-    body = body.withColumn("next", F.lead("plain").over(order)).withColumn("before", F.lag("text").over(order))
+    body = body.withColumn("next", F.lead("plain").over(order)).withColumn("before", F.lag("mark").over(order))
     # the text goes on at the first body line of the next page
     edge = body.groupBy("scan_id", "page_no").agg(
-        F.min_by("plain", F.struct("line_idx", "line_id")).alias("first"), F.max_by("text", F.struct("line_idx", "line_id")).alias("last"))
+        F.min_by("plain", F.struct("line_idx", "line_id")).alias("first"), F.max_by("mark", F.struct("line_idx", "line_id")).alias("last"))
     edge = cut(edge)
     ahead = edge.select("scan_id", (F.col("page_no") - 1).alias("page_no"), F.col("first").alias("ahead"))
     behind = edge.select("scan_id", (F.col("page_no") + 1).alias("page_no"), F.col("last").alias("behind"))
     body = body.join(ahead, ["scan_id", "page_no"], "left").join(behind, ["scan_id", "page_no"], "left")
-    stripped = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "[\\s   　​-‍⁠﻿]+$", "")
-    broken = lambda c: stripped(c).rlike(f"[A-Za-zÀ-ɏ!|0-9][{_HYPHEN}]$")
     body = body.withColumns({
-        "next": F.coalesce("next", "ahead"), "open": broken(F.col("text")), "mark": F.right(stripped(F.col("text")), F.lit(1)),
-        "after": broken(F.coalesce("before", "behind"))}).drop("ahead", "behind", "before")
+        "next": F.coalesce("next", "ahead"), "open": F.col("mark").isin(*"-‐‑¬"), "after": F.coalesce("before", "behind", F.lit("")).isin(*"-‐‑¬"),
+    }).drop("ahead", "behind", "before")
     other = every.where("furniture OR coalesce(length(plain), 0) = 0").withColumns({
         "next": F.lit(None).cast("string"), "open": F.lit(False), "mark": F.lit(""), "after": F.lit(False)})
     return cut(body.unionByName(other))
@@ -203,11 +206,20 @@ def _retrieve(key: tuple, words: pd.DataFrame, known: pd.DataFrame) -> pd.DataFr
     out = []
     for word, n in zip(words["word"], words["n"]):
         for right, m in trie.within(word, DISTANCE if len(word) > 4 else 1):
-            if m >= RARER * n and right != word and (d := differences(word, right)):
+            least = ODDER if _ODD.search(word) else RARER
+            if m >= least * n and right != word and (d := differences(word, right)):
                 out.append((word, right, d, int(m)))
     return pd.DataFrame(out, columns=["word", "right", "changes", "m"])
 
 
+def skeleton(word: str, learned: list[list[str]]) -> str:
+    """The word with every stretch that a recurring substitution makes put back, longer ones first."""
+    for right, wrong in sorted(learned, key=lambda x: (-len(x[1]), x)):
+        if len(wrong) > len(right) or len(wrong) == len(right) == 1:
+            word = word.replace(wrong, right)
+    return word
+
+
 def misread_words(counts: DataFrame) -> DataFrame:
     """(word, right): words that are misreadings of known ones by substitutions that recur."""
     words = cut(counts.where("kind IN ('W', 'J')").groupBy(F.col("key").alias("word")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("kind") == "W", F.col("n")).otherwise(0)).alias("unbroken")))
@@ -225,7 +237,16 @@ def misread_words(counts: DataFrame) -> DataFrame:
     strange = F.col("change").rlike(">.*[0-9!|$]")  # a digit or sign in place of letters needs no second case
     told = best.select("word", "right", F.explode("changes").alias("change")).join(recurring, "change", "left").groupBy("word", "right").agg(
         F.min(F.when(F.col("r").isNotNull() | strange, 1).otherwise(0)).alias("ok"))
-    return cut(told.where("ok = 1").select("word", "right"))
+    told = cut(told.where("ok = 1").select("word", "right"))
+    # words with several slips: both sides are written with one form of each recurring substitution
+    learned = [r["change"].split(">", 1) for r in recurring.select("change").orderBy("change").collect()]  # pairs of short stretches
+    form = per_distinct(lambda w: None if w is None else skeleton(w, learned), T.StringType())
+    forms = known.select(F.col("word").alias("right"), F.col("n").alias("m"), form("word").alias("form"))
+    forms = forms.groupBy("form").agg(F.max_by("right", F.struct("m", "right")).alias("right"), F.max("m").alias("m"))
+    rest = asked.join(told.select("word"), "word", "left_anti").select("word", "n", form("word").alias("form"))
+    more = rest.join(forms, "form").where((F.col("word") != F.col("right")) & (F.length("word") > 4) & (
+        F.col("m") >= F.col("n") * F.when(F.col("word").rlike("[0-9!|$]"), ODDER).otherwise(RARER)))
+    return cut(told.unionByName(more.select("word", "right")))
 
 
 def _bits(keys: list[str]) -> np.ndarray:
@@ -256,7 +277,7 @@ def bad_numbers(plain: str) -> list[tuple[int, str]]:
         right = t.translate(_AS_DIGIT)
         if re.fullmatch(r"[\d.,:/-]+", right) and not re.fullmatch(r"[A-Z]\d", t):
             out.append((m.start(), right))
-    out += [(m.start(), m[0].translate(_AS_DIGIT)) for m in _LONE.finditer(plain)]
+    out += [(m.start(), m[0].translate(_AS_DIGIT)) for pattern in (_LONE, _UNIT) for m in pattern.finditer(plain)]
     for m in _CODE.finditer(plain):
         t = m[0].upper()
         if t[:2] in ("91", "9L", "9I", "92", "93") or sum(c.isdigit() for c in t) >= 8:
@@ -342,7 +363,7 @@ def hyphens(laid: DataFrame, counts: DataFrame) -> DataFrame:
         return pd.DataFrame(got, columns=["head", "tail"], index=plain.index)
 
     parts.__annotations__ = {"plain": pd.Series, "nxt": pd.Series, "return": pd.DataFrame}
-    ends = laid.where("open AND next IS NOT NULL").select("line_id", "mark", F.pandas_udf(parts, "head string, tail string")("plain", "next").alias("p")).select("line_id", "mark", "p.*").where("head IS NOT NULL AND tail IS NOT NULL")
+    ends = laid.where("mark <> '' AND next IS NOT NULL").select("line_id", "mark", F.pandas_udf(parts, "head string, tail string")("plain", "next").alias("p")).select("line_id", "mark", "p.*").where("head IS NOT NULL AND tail IS NOT NULL")
     ends = cut(ends.withColumns({"word": F.lower(F.concat("head", "tail")), "compound": F.lower(F.concat("head", F.lit("-"), "tail")), "first": F.lower("head"), "second": F.lower("tail")}))
     n = lambda kind, key, name: counts.where(F.col("kind") == kind).select(F.col("key").alias(key), F.col("n").alias(name))
     e = ends.join(n("W", "word", "n_word"), "word", "left").join(n("C", "compound", "n_compound"), "compound", "left")
@@ -350,7 +371,7 @@ def hyphens(laid: DataFrame, counts: DataFrame) -> DataFrame:
     z = lambda c: F.coalesce(c, F.lit(0))
     word, compound = z("n_word"), z("n_compound")
     both_known = (z("n_first") >= KNOWN) & (z("n_second") >= KNOWN)
-    added = F.when(F.col("mark") != "-", True).when(F.col("head").rlike("^[0-9]+$") | F.col("tail").rlike("^[0-9]+$"), False).when(
+    added = F.when(F.col("mark") == "\u00ad", (word > 0) & (word > z("n_first"))).when(F.col("mark") == "¬", True).when(F.col("head").rlike("^[0-9]+$") | F.col("tail").rlike("^[0-9]+$"), False).when(
         word > compound, True).when(compound > word, False).when(F.col("tail").rlike("^[A-ZÀ-Þ]"), False).otherwise(~both_known)
     return e.where(added).select("line_id", F.concat("head", "tail").alias("joined"))
 
@@ -419,8 +440,6 @@ def paragraphs(lines: DataFrame) -> DataFrame:
     A paragraph begins at the first line of a scan and at lines that start further right than
     the usual left edge of their page; it goes on over page ends.
     """
-    from pyspark.sql import types as T
-
     laid = laid_out(lines)
     counts, wrong = misread(laid)
     broken = hyphens(laid, counts).select("line_id", F.lower("joined").alias("joined"))
