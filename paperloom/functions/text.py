@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,13 +19,22 @@ IMAGE_LINK = r"!\[[^\]]*\]\([^)]+\)"
 SPACE = r"(?U)\s+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def cleaned(c: Column) -> Column:
     """One-line text without heading marks and pieces of watermarks; null counts as empty."""
-    t = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "　", " "))
-    t = F.regexp_replace(t, r"^#{1,6}\s+", "")
-    for mark in MARKS:
-        t = F.regexp_replace(t, mark + r"\s*", "")
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
+    def without_marks(t: Column) -> Column:
+        out = t
+        for mark in MARKS:
+            out = F.regexp_replace(out, mark + r"\s*", "")
+        return F.when(t.rlike("|".join(MARKS)), out).otherwise(t)
+
+    plain = F.trim(F.translate(F.coalesce(c, F.lit("")), "　", " "))
+    headless = let(plain, lambda t: F.when(t.startswith("#"), F.regexp_replace(t, r"^#{1,6}\s+", "")).otherwise(t))
+    return F.trim(F.regexp_replace(let(headless, without_marks), r"\s+", " "))
 
 
 def compact(c: Column) -> Column:
@@ -43,27 +54,33 @@ def han_share(c: Column) -> Column:
 
 def quality(c: Column) -> Column:
     """Readability between 0 and 1: ideographs and alphanumerics, less penalties; 1 for blank."""
-    t = F.trim(F.coalesce(c, F.lit("")))
-    s = F.regexp_replace(t, SPACE, "")
-    base = (_count(s, "一-鿿") + _count(s, "A-Za-z0-9") * 0.85) / F.length(s)
-    penalty = sum((F.when(t.contains(w), 0.18).otherwise(0.0) for w in MARK_PIECES), F.lit(0.0))
-    penalty += F.when(t.rlike("[女熊端足文]{3,}"), 0.35).otherwise(0.0) + F.when((F.length(s) <= 3) & ~s.rlike("[0-9]"), 0.25).otherwise(0.0)
-    return F.when(F.length(s) == 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), base - penalty)))
+    def of(t: Column, s: Column) -> Column:
+        base = (_count(s, "一-鿿") + _count(s, "A-Za-z0-9") * 0.85) / F.length(s)
+        pieces = sum((F.when(t.contains(w), 0.18).otherwise(0.0) for w in MARK_PIECES), F.lit(0.0))
+        penalty = F.when(t.rlike("|".join(MARK_PIECES)), pieces).otherwise(0.0)
+        penalty += F.when(t.rlike("[女熊端足文]{3,}"), 0.35).otherwise(0.0) + F.when((F.length(s) <= 3) & ~s.rlike("[0-9]"), 0.25).otherwise(0.0)
+        return F.when(F.length(s) == 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), base - penalty)))
+
+    return let(F.trim(F.coalesce(c, F.lit(""))), lambda t: let(F.regexp_replace(t, SPACE, ""), lambda s: of(t, s)))
 
 
-def is_noise(text: Column, marks: Column | None = None, signature: Column | None = None) -> Column:
-    """True for a cleaned text without content; signature pages keep more."""
+def is_noise(text: Column, marks: Column | None = None, signature: Column | None = None, known_quality: Column | None = None) -> Column:
+    """True for a cleaned text without content; signature pages keep more. ``known_quality`` saves computing it again."""
     sig = F.lit(False) if signature is None else signature
-    wanted = sig & text.rlike("|".join(SIGN_WORDS)) & (F.length(text) >= 3)
-    in_marks = F.lit(False) if marks is None else F.coalesce(F.array_contains(marks, text), F.lit(False))
-    short = (F.length(text) <= 2) & ~text.rlike("[0-9]")
-    poor = quality(text) < LOW_QUALITY
-    spared = sig & (F.length(text) >= 6) & text.rlike("[一-鿿]{2,}")
-    phrase = (F.length(text) <= 6) & ~text.rlike("[，。；：、（）()0-9]") & text.rlike("|".join(MARK_HINTS))
-    return (
-        F.when(text == "", True).when(wanted, False).when(in_marks, True)
-        .when(short, ~text.isin(*KEPT_SHORT)).when(poor, ~spared).otherwise(phrase)
-    )
+
+    def of(t: Column) -> Column:
+        wanted = sig & t.rlike("|".join(SIGN_WORDS)) & (F.length(t) >= 3)
+        in_marks = F.lit(False) if marks is None else F.coalesce(F.array_contains(marks, t), F.lit(False))
+        short = (F.length(t) <= 2) & ~t.rlike("[0-9]")
+        poor = (quality(t) if known_quality is None else known_quality) < LOW_QUALITY
+        spared = sig & (F.length(t) >= 6) & t.rlike("[一-鿿]{2,}")
+        phrase = (F.length(t) <= 6) & ~t.rlike("[，。；：、（）()0-9]") & t.rlike("|".join(MARK_HINTS))
+        return (
+            F.when(t == "", True).when(wanted, False).when(in_marks, True)
+            .when(short, ~t.isin(*KEPT_SHORT)).when(poor, ~spared).otherwise(phrase)
+        )
+
+    return let(text, of)
 
 
 def usable(c: Column) -> Column:

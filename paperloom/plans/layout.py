@@ -42,7 +42,9 @@ def page_metrics(lines: DataFrame) -> DataFrame:
     b = blocks(lines)
     marks = cut(repeated_marks(b).select("scan_id", F.col("mark").alias("clean"), F.lit(True).alias("is_mark")))
     b = join_sized(b, marks, ["scan_id", "clean"], "left", row_bytes=60)
-    noise = F.coalesce("is_mark", F.lit(False)) | tx.is_noise(F.col("clean"))
+    # computed once per block, as several measures use them
+    b = b.withColumn("q", tx.quality(F.col("clean"))).withColumn("noise", F.coalesce("is_mark", F.lit(False)) | tx.is_noise(F.col("clean"), known_quality=F.col("q")))
+    noise = F.col("noise")
     size = lambda keep, test, of: F.coalesce(F.sum(F.when(keep & test, F.length(of))), F.lit(0))
     content = F.col("clean") != ""
     table = F.coalesce(F.sum(F.when(F.col("label") == "table", F.length("clean"))), F.lit(0))
@@ -51,7 +53,7 @@ def page_metrics(lines: DataFrame) -> DataFrame:
         size(keeps("raw"), F.lit(True), F.trim(F.coalesce("text", F.lit("")))).alias("raw_len"),
         size(keeps("meaningful"), ~noise, "clean").alias("meaningful_len"), size(keeps("no_table"), ~noise, "clean").alias("no_table_len"),
         F.count_if(keeps("raw") & content & (F.length("clean") <= 4)).alias("n_short"),
-        F.round(F.coalesce(F.avg(F.when(keeps("raw") & content, tx.quality(F.col("clean")))), F.lit(0.0)), 6).alias("mean_quality"),
+        F.round(F.coalesce(F.avg(F.when(keeps("raw") & content, F.col("q"))), F.lit(0.0)), 6).alias("mean_quality"),
         (table > F.greatest(2 * other, F.lit(80))).alias("mainly_table"))
 
 
