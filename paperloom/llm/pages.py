@@ -141,7 +141,7 @@ def words_of(plain: str, open_: bool, after: bool, nxt: str | None) -> Iterator[
             continue
         if open_ and i == len(found) - 1 and joined:
             continue
-        if sum(c.isdigit() for c in m[0]) <= len(m[0]) // 2 and len(m[0]) > 2:
+        if sum(c.isdigit() for c in m[0]) <= len(m[0]) // 3 and len(m[0]) > 2:
             yield m[0].lower(), m.start()
     if joined:
         yield (joined[0] + joined[1]).lower(), -1

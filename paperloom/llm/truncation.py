@@ -153,18 +153,18 @@ def judge(documents: DataFrame, key: str = "doc_id", text: str = "text", source:
     by_bytes = limits.where("unit = 'bytes'").select("src", F.col("n").alias("bytes"), F.lit(True).alias("at_bytes"))
     judged = join_sized(texts.drop("ends", "sentences"), known_ends, ["tail"], "left")
     judged = join_sized(judged, known_closings, ["closing"], "left")
-    judged = judged.join(copies, "body", "left").join(fragments, "fragment", "left")
     no = lambda c: F.coalesce(F.col(c), F.lit(False))
-    judged = cut(judged.select(
-        "id", "broken", "stopped", "layout", no("closed").alias("closed"), no("ended").alias("ended"),
-        (no("copied") | no("begun")).alias("prefix")))
+    judged = judged.withColumn("settled", F.col("stopped") | F.col("layout") | no("closed"))
+    # only texts whose end is still open need the prefixes: most others share the empty fragment
+    open_ = judged.where("NOT settled").join(copies, "body", "left").join(fragments, "fragment", "left")
+    flags = ["id", "broken", "settled", no("ended").alias("ended")]
+    judged = cut(open_.select(*flags, (no("copied") | no("begun")).alias("prefix")).unionByName(judged.where("settled").select(*flags, F.lit(False).alias("prefix"))))
     out = full.withColumn("id", F.xxhash64("text")).withColumn("src", F.coalesce("source", F.lit(""))).withColumn("chars", F.length("text")).withColumn("bytes", F.octet_length("text"))
     out = join_sized(out, by_chars, ["src", "chars"], "left", row_bytes=64)
     out = join_sized(out, by_bytes, ["src", "bytes"], "left", row_bytes=64)
     out = join_sized(out.select("key", "source", "id", (no("at_chars") | no("at_bytes")).alias("limit")), judged, ["id"], "left", row_bytes=64)
-    settled = F.col("stopped") | F.col("layout") | F.col("closed")
     evidence = (
-        F.when(F.col("broken"), "broken").when(settled, None).when(F.col("limit"), "limit")
+        F.when(F.col("broken"), "broken").when(F.col("settled"), None).when(F.col("limit"), "limit")
         .when(F.col("ended"), None).when(F.col("prefix"), "prefix").otherwise("open")
     )
     blank = rows.where(F.col("text").isNull() | (F.length(F.trim("text")) == 0)).select("key", "source", F.lit(None).cast("string").alias("evidence"))
