@@ -27,8 +27,8 @@ from paperloom.runtime import cut, join_sized
 #: Least copies that make an ending or a closing line known, and their least share of the texts.
 LEAST_ENDS, ENDS_SHARE = 2, 2e-5
 LEAST_CLOSINGS, CLOSINGS_SHARE = 3, 1e-4
-#: A length is a field limit if so many texts have it and so many times more than others nearby.
-LIMIT_TEXTS, LIMIT_TIMES, NEARBY = 5, 8.0, 25
+#: A length is a field limit if so many different texts of a source have it, such a share, and so many times more than others nearby.
+LIMIT_TEXTS, LIMIT_SHARE, LIMIT_TIMES, NEARBY = 8, 0.005, 8.0, 25
 #: Characters of an ending, Latin and ideographic; longest closing line; shortest prefix told.
 LATIN, HAN, CLOSING, PREFIX = 10, 5, 60, 20
 
@@ -66,7 +66,7 @@ def anatomy(text: str | None) -> dict:
     last = lines[-1].strip()
     return {
         "body": body.rstrip("�"), "tail": ending(masked), "closing": last if len(lines) == 2 and len(last) <= CLOSING else None,
-        "fragment": masked[start:].strip("� \n\t"), "stopped": bool(_STOP.search(masked) or _SIGN.search(masked)),
+        "fragment": masked[start:].strip("� \n\t"), "stopped": not masked or bool(_STOP.search(masked) or _SIGN.search(masked)),
         "layout": bool(_ROW.match(last) or _FILE.search(last)), "broken": broken,
         "ends": sorted(ends), "sentences": sorted(sentences),
     }
@@ -124,7 +124,8 @@ def judge(documents: DataFrame, key: str = "doc_id", text: str = "text", source:
     """
     rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(source).alias("source"))
     forms = F.pandas_udf(_anatomies, FORM)
-    full = rows.where(F.length(F.trim("text")) > 0)
+    blank_text = ~F.coalesce(F.col("text").rlike(r"(?U)\S"), F.lit(False))
+    full = rows.where(~blank_text)
     texts = cut(full.select("text").distinct().withColumn("id", F.xxhash64("text")).withColumn("form", forms("text")).select("id", "text", "form.*"))
     n = texts.count()
     known_ends = cut(
@@ -139,14 +140,15 @@ def judge(documents: DataFrame, key: str = "doc_id", text: str = "text", source:
     fragments = strict_prefixes(
         texts.select(F.col("fragment").alias("s")).unionByName(texts.select(F.explode("sentences").alias("s"))), "s"
     ).select(F.col("s").alias("fragment"), F.lit(True).alias("begun"))
-    sizes = rows.where("text IS NOT NULL").withColumn("n", F.explode(F.array(
+    sizes = full.select("source", "text").distinct().withColumn("n", F.explode(F.array(
         F.struct(F.lit("chars").alias("unit"), F.length("text").alias("n")),
         F.struct(F.lit("bytes").alias("unit"), F.octet_length("text").alias("n"))))).select("source", "n.*")
     near = Window.partitionBy("source", "unit").orderBy("n").rangeBetween(-NEARBY, NEARBY)
     limits = (
         sizes.groupBy("source", "unit", "n").agg(F.count(F.lit(1)).alias("c"))
         .withColumn("others", (F.sum("c").over(near) - F.col("c")) / (2 * NEARBY))
-        .where((F.col("c") >= LIMIT_TEXTS) & (F.col("c") >= LIMIT_TIMES * (F.col("others") + 0.25)))
+        .withColumn("all", F.sum("c").over(Window.partitionBy("source", "unit")))
+        .where((F.col("c") >= LIMIT_TEXTS) & (F.col("c") >= LIMIT_SHARE * F.col("all")) & (F.col("c") >= LIMIT_TIMES * (F.col("others") + 0.25)))
     )
     limits = cut(limits.select(F.coalesce("source", F.lit("")).alias("src"), "unit", "n"))
     by_chars = limits.where("unit = 'chars'").select("src", F.col("n").alias("chars"), F.lit(True).alias("at_chars"))
@@ -167,7 +169,7 @@ def judge(documents: DataFrame, key: str = "doc_id", text: str = "text", source:
         F.when(F.col("broken"), "broken").when(F.col("settled"), None).when(F.col("limit"), "limit")
         .when(F.col("ended"), None).when(F.col("prefix"), "prefix").otherwise("open")
     )
-    blank = rows.where(F.col("text").isNull() | (F.length(F.trim("text")) == 0)).select("key", "source", F.lit(None).cast("string").alias("evidence"))
+    blank = rows.where(blank_text).select("key", "source", F.lit(None).cast("string").alias("evidence"))
     return out.select("key", "source", evidence.alias("evidence")).unionByName(blank).withColumnsRenamed({"key": key, "source": source})
 
 
