@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packed", "traffic", "invoices", "pages", "streams")
+MODULES = ("packed", "traffic", "invoices", "pages", "streams", "extraction")
 
 
 def registry() -> tuple[dict, dict]:
