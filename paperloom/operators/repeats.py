@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.operators.numbering import numbered_within
+
 
 def field_key(no: str = "invoice_no", day: str = "invoice_date", total: str = "total_amount") -> Column:
     """number|date|total, the bare number if date or total is blank, null without a number."""
@@ -24,10 +26,6 @@ def grid_key(no: str = "invoice_no", tax: str = "seller_tax", total: str = "tota
 
 
 def occurrences(rows: DataFrame, key: Column, order: str) -> DataFrame:
-    """Add ``key`` and ``occurrence``, 0 for the first of a key by ``order``; rows of a null key are all first.
-
-    A window sorts each key in one task with spilling; it keeps one row in memory at a time.
-    """
-    w = Window.partitionBy("key").orderBy(order)
-    keyed = rows.withColumn("key", key)
-    return keyed.withColumn("occurrence", F.when(F.col("key").isNull(), 0).otherwise(F.row_number().over(w) - 1))
+    """Add ``key`` and ``occurrence``, 0 for the first of a key by ``order``; rows of a null key are all first."""
+    placed = numbered_within(rows, key, [order], "occurrence")
+    return placed.withColumn("occurrence", F.when(F.col("key").isNull(), 0).otherwise(F.col("occurrence") - 1).cast("int"))

@@ -224,11 +224,9 @@ def archive_plan(records: DataFrame) -> DataFrame:
 
 def collision_numbers(plan: DataFrame) -> DataFrame:
     """(row_id, folder, final_name): the second file of a name in a folder gets _2, and so on."""
-    from pyspark.sql import Window
-
-    k = F.row_number().over(Window.partitionBy("folder", "name").orderBy("row_id"))
     stem, suffix = F.regexp_replace("name", r"\.[^.]+$", ""), F.regexp_extract("name", r"(\.[^.]+)$", 1)
-    return plan.withColumn("k", k).select("row_id", "folder", F.when(F.col("k") == 1, F.col("name")).otherwise(F.concat(stem, F.lit("_"), F.col("k"), suffix)).alias("final_name"))
+    r = occurrences(plan, F.concat_ws("/", "folder", "name"), "row_id").withColumn("k", F.col("occurrence") + 1)
+    return r.select("row_id", "folder", F.when(F.col("k") == 1, F.col("name")).otherwise(F.concat(stem, F.lit("_"), F.col("k"), suffix)).alias("final_name"))
 
 
 REPORT = ("row_id", "archive_month", "category", "seller_name", "total_amount", "status", "archived_name", "review_summary")

@@ -124,8 +124,9 @@ def continued_lines(spark, d):
 
 
 def label_runs(spark, d):
-    """Stretches of neighbouring lines of one height."""
-    return tables.equal_runs(_lines(spark, d).select("scan_id", "line_id", F.round("height", 3).alias("h")), "scan_id", "line_id", "h")
+    """Stretches of neighbouring lines of one height on a page."""
+    lines = _lines(spark, d).select(F.concat_ws("|", "scan_id", "page_no").alias("page"), "line_id", F.round("height", 3).alias("h"))
+    return tables.equal_runs(lines, "page", "line_id", "h")
 
 
 def nearest_amount(spark, d):
@@ -280,6 +281,7 @@ _PIPES = rf"""WITH l AS ({_DLINES}), f AS (SELECT doc_id, n, trim(line, ' ') AS
     FROM k, LATERAL (SELECT unnest(range(0, n_cols)) AS c))"""
 _SCORED = f"""WITH {_BLOCKS}, scored AS (SELECT scan_id || '|' || page_no AS page, line_id AS block, CASE WHEN label = 'table' THEN 'table' ELSE 'text' END AS kind,
   CASE WHEN length(text) = 0 THEN 100.0 ELSE length(clean) * 100.0::DOUBLE / length(text) END AS score FROM b WHERE text IS NOT NULL)"""
+_place = lambda v, side: f"arg_min(CASE WHEN band AND {side} AND {v} IS NOT NULL THEN {v} END, CASE WHEN band AND {side} AND {v} IS NOT NULL THEN o END)"
 _q = lambda s: "NULL" if s is None else "'" + s.replace("'", "''") + "'"
 _amt = r"CAST(replace(nullif(regexp_extract(text, '[¥￥]?\s*(-?\d[\d,]*\.\d{2})', 1), ''), ',', '') AS DOUBLE)"
 QUERIES = {f.__name__: f for f in (
@@ -314,8 +316,8 @@ ORACLE = {
     "continued_lines": """WITH r AS (SELECT scan_id || '|' || page_no AS page, line_idx, CASE WHEN x > 0.12 THEN text ELSE '' END AS head, CASE WHEN x <= 0.12 THEN text ELSE '' END AS body FROM ocr_lines WHERE text IS NOT NULL),
       g AS (SELECT *, count(*) FILTER (length(head) > 0) OVER (PARTITION BY page ORDER BY line_idx) AS row_no FROM r)
       SELECT page, row_no, CAST(length(max(head)) AS INT) AS head_chars, CAST(length(coalesce(string_agg(body, ' ' ORDER BY line_idx) FILTER (body <> ''), '')) AS INT) AS body_chars FROM g WHERE row_no > 0 GROUP BY ALL""",
-    "label_runs": """WITH l AS (SELECT scan_id, line_id, round(height, 3) AS h FROM ocr_lines), s AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY line_id) AS a, row_number() OVER (PARTITION BY scan_id, h ORDER BY line_id) AS b FROM l)
-      SELECT scan_id, h, min(line_id) AS first, max(line_id) AS last, count(*) AS n FROM s GROUP BY scan_id, h, a - b""",
+    "label_runs": """WITH l AS (SELECT scan_id || '|' || page_no AS page, line_id, round(height, 3) AS h FROM ocr_lines), s AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY line_id) AS a, row_number() OVER (PARTITION BY page, h ORDER BY line_id) AS b FROM l)
+      SELECT page, h, min(line_id) AS first, max(line_id) AS last, count(*) AS n FROM s GROUP BY page, h, a - b""",
     "nearest_amount": f"""WITH a AS (SELECT scan_id, page_no, x AS ax, y AS ay, {_amt} AS amount FROM ocr_lines), l AS (SELECT scan_id, page_no, x AS lx, y AS ly FROM ocr_lines WHERE contains(text, '小写'))
       SELECT l.scan_id, l.page_no, max(amount) AS amount FROM l JOIN a USING (scan_id, page_no) WHERE amount IS NOT NULL AND abs(ay - ly) < 0.04 AND ax >= lx GROUP BY ALL""",
     "nearest_label": """SELECT line_id, label FROM (SELECT v.line_id, l.text AS label, row_number() OVER (PARTITION BY v.line_id ORDER BY abs(v.x - l.x) + abs(v.y - l.y), l.line_idx) AS k
@@ -330,7 +332,14 @@ ORACLE = {
     "document_confidence": "SELECT avg(m) AS doc_conf FROM (SELECT coalesce(avg(conf) FILTER (conf >= 0), 0.0) AS m FROM (VALUES " + ", ".join(f"('{w}', {p}, {c}::DOUBLE)" for w, p, _, c in WORDS if w) + ") v(word, page, conf) GROUP BY page)",
     "edit_scores": r"""WITH p AS (SELECT row_id, regexp_replace(original_name, '[^0-9A-Za-z._]', '', 'g') AS a, '20240101_' || lpad(CAST(row_id AS VARCHAR), 8, '0') || '.pdf' AS b FROM invoice_records)
       SELECT row_id, round_even(CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0 ELSE 1 - levenshtein(a, b) / CAST(greatest(length(a), length(b)) AS DOUBLE) END * 100, 2) AS score FROM p""",
-    "text_likeness": None,
+    "doc_usable": r"""WITH k AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), l AS (SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '^\s*!\[[^\]]*\]\([^)]+\)\s*$')), chr(10)) AS t FROM k)
+      SELECT doc_id, regexp_matches(t, '(?i)<table') OR (length(trim(t, ' ')) >= 4 AND (length(regexp_replace(t, '[^一-鿿]', '', 'g')) >= 2 OR length(regexp_replace(t, '[^A-Za-z0-9]', '', 'g')) >= 3)) AS usable FROM l""",
+    "parties_by_place": rf"""WITH l AS (SELECT scan_id, page_no, x, y, nullif(regexp_extract(text, '名称[:：]\s*(.+)$', 1), '') AS nm, nullif(upper(regexp_extract(text, '([0-9A-Za-z]{{18}})', 1)), '') AS cd,
+        CAST(replace(nullif(regexp_extract(text, '小写[)）]\s*[¥￥]?\s*(-?[\d,]+\.\d{{2}})', 1), ''), ',', '') AS DOUBLE) AS t, y BETWEEN 0.5 AND 0.91 AS band, (-round(y, 4), x) AS o FROM ocr_lines)
+      SELECT scan_id, {_place('nm', 'x < 0.46')} AS buyer_name, {_place('nm', 'x >= 0.48')} AS seller_name, {_place('cd', 'x < 0.46')} AS buyer_tax, {_place('cd', 'x >= 0.48')} AS seller_tax, max(t) AS total
+      FROM l GROUP BY scan_id HAVING max(page_no) = 1 AND (buyer_name IS NOT NULL OR seller_name IS NOT NULL)""",
+    "edit_pairs": "SELECT a, b, score, CASE WHEN a = '' THEN 100.0 WHEN b = '' THEN 0.0 WHEN contains(b, a) THEN greatest(score, 92.0) ELSE score END AS window_score FROM (SELECT *, round_even((CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0 ELSE 1 - levenshtein(a, b) / CAST(greatest(length(a), length(b)) AS DOUBLE) END) * 100, 2) AS score FROM (SELECT a, b FROM (VALUES "
+    + ", ".join(f"({_q(a)}, {_q(b)}, {_q(a.replace(' ', ''))}, {_q(b.replace(' ', ''))})" for a, b in NEAR) + ") v(a, b, ca, cb)))",
     "eval_pages": _SCORED + f" SELECT page, round({_avg('text')}, 4) AS text_avg, round({_avg('table')}, 4) AS table_avg FROM scored GROUP BY page",
     "eval_overall": _SCORED + f" SELECT count(*) FILTER (kind = 'text') AS text_blocks, count(*) FILTER (kind = 'table') AS table_blocks, round({_avg('text')}, 4) AS text_avg, round({_avg('table')}, 4) AS table_avg, round({_avg('text')} * 0.6 + {_avg('table')} * 0.4, 4) AS overall FROM scored",
     "eval_worst": _SCORED + " SELECT page, block, round(score, 4) AS score FROM scored ORDER BY scored.score, page, block LIMIT 8",

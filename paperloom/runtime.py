@@ -54,10 +54,12 @@ def join_sized(left: DataFrame, right: DataFrame, on: list[str], how: str, row_b
     ``right`` should be materialised (see ``cut``): its rows are counted, and only if rows *
     row_bytes is below the limit is it broadcast. Otherwise both sides are shuffled with a salt:
     each left row draws one of ``salts`` values and right rows are repeated for all of them,
-    so a key that holds a third of the left rows is spread over that many tasks.
+    so a key that holds a third of the left rows is spread over that many tasks. The salt is a
+    hash of the row, so a task that is run again after a loss gives each row the same one.
     """
     if right.count() * row_bytes <= BROADCAST_LIMIT_BYTES:
         return left.join(F.broadcast(right), on, how)
-    salted = left.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    hashed = [c for c, kind in left.dtypes if "map<" not in kind]  # maps have no hash
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int"))
     many = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(many, [*on, "_salt"], how).drop("_salt")

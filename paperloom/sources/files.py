@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
+
+from paperloom.operators import numbering
 
 # Kinds of files that are scanned, and limits of a conversion.
 SUFFIXES = ("pdf", "jpg", "jpeg", "png", "bmp", "tif", "tiff", "webp", "ofd")
@@ -33,8 +34,8 @@ def listed(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = SUFFIXE
 
 
 def numbered(files: DataFrame) -> DataFrame:
-    """Included files numbered from 1 by path; the listing of a folder is small beside its content."""
-    return files.where("included").withColumn("row_id", F.row_number().over(Window.orderBy("path")))
+    """Included files numbered from 1 by path."""
+    return numbering.numbered(files.where("included"), ["path"], "row_id")
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
