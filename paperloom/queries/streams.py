@@ -3,21 +3,18 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from paperloom.streaming import traffic as st
 from paperloom.queries import traffic as batch
+from paperloom.runtime import shared_folder
 
 
 def _scratch(spark, d: str) -> str:
-    """A folder for the stream's checkpoint: the cluster's shared one, else a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="paperloom-stream-")
+    """A folder of its own for the stream's checkpoint, in the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def _source(d: str) -> str:
