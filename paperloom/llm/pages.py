@@ -43,6 +43,8 @@ RECURS = 3
 ALWAYS = 0.5
 #: Words a trie holds at most, queries against it in one task, bits of the filter sent to all tasks.
 SHARD, QUERIES, BITS = 200_000, 20_000, 1 << 23
+#: Keys tested at once, so that memory follows neither the batch nor the longest line.
+GATHERED = 50_000
 #: Pages whose paragraphs are numbered in one task.
 BLOCK = 1000
 #: Edit distance of the automaton; longest changed stretch on either side.
@@ -313,20 +315,30 @@ def misread(laid: DataFrame) -> tuple[DataFrame, DataFrame]:
             return (table[b >> 5] >> (b & 31).astype(np.uint32)) & 1
 
         for batch in batches:
-            asked, where, out = [], [], []
+            asked: list[str] = []
+            where: list[tuple] = []
+            out: list[tuple] = []
+
+            def settle() -> None:
+                """Test what was gathered; a place keeps all its surroundings if one of them is doubted."""
+                if asked:
+                    marks = hit(asked)
+                    spots = {w[:2] for w, h in zip(where, marks) if h and w[2] != "W"}
+                    out.extend((*w, "") for w, h in zip(where, marks) if (h if w[2] == "W" else w[:2] in spots))
+                    asked.clear()
+                    where.clear()
+
             for line, plain, open_, after, nxt in zip(batch["line_id"], batch["plain"], batch["open"], batch["after"], batch["next"]):
-                for at, right in bad_numbers(plain):
-                    out.append((line, at, "N", "", "", right))
+                out += [(line, at, "N", "", "", right) for at, right in bad_numbers(plain)]
                 for word, at in words_of(plain, open_, after, nxt):
                     asked.append("W" + word)
                     where.append((line, at, "W", word, ""))
                 for at, kind, key, c in surroundings(plain):
+                    if kind == "L" and len(asked) > GATHERED:
+                        settle()
                     asked.append(f"{kind}{key}|{c}")
                     where.append((line, at, kind, key, c))
-            if asked:
-                marks = hit(asked)
-                spots = {(w[0], w[1]) for w, h in zip(where, marks) if h and w[2] != "W"}
-                out += [(*w, "") for w, h in zip(where, marks) if (h and w[2] == "W") or (w[2] != "W" and (w[0], w[1]) in spots)]
+            settle()
             yield pd.DataFrame(out, columns=["line_id", "at", "kind", "key", "c", "right"])
 
     hits = cut(used.mapInPandas(find, "line_id long, at int, kind string, key string, c string, right string"))
