@@ -115,9 +115,9 @@ def fill_parties(rows: DataFrame, side: str) -> DataFrame:
     take_code = (F.col(name) != "") & F.col("v_code").isNotNull() & wrong
     take_name = ~F.coalesce(take_code, F.lit(False)) & (upper != "") & (F.col(name) == "") & F.col("v_name").isNotNull()
     take_code, take_name = F.coalesce(take_code, F.lit(False)), F.coalesce(take_name, F.lit(False))
-    gone = F.when(take_code, code).when(take_name, name).otherwise("")
+    gone = F.when(take_code, F.lit(code)).when(take_name, F.lit(name)).otherwise(F.lit(""))
     return r.withColumns({
-        "fields_needing_review": F.filter("fields_needing_review", lambda x: x != gone),
+        "fields_needing_review": F.array_remove("fields_needing_review", gone),
         code: F.when(take_code, F.col("v_code")).otherwise(F.col(code)), name: F.when(take_name, F.col("v_name")).otherwise(F.col(name)),
     }).drop("u_code", "v_code", "v_name")
 

@@ -106,6 +106,8 @@ QUERIES = {f.__name__: f for f in (
     invoice_fields, invoice_fields_checked, sections_of_parties, page_classes, pages_to_check, row_heights, reading_order, version_bumps, build_numbers,
     cache_keys, document_modes, company_names, company_chunks, noise_rows, box_corners, changes_by_kind, routes_by_day, page_plan)}
 _first = lambda v, t, o="page_no, line_idx, line_id": f"arg_min(CASE WHEN {t} THEN {v} END, CASE WHEN {t} THEN ({o}) END)"
+_q = lambda s: "NULL" if s is None else f"'{s}'"
+_side = lambda side, v: f"arg_min(CASE WHEN side = '{side}' AND length({v}) >= 2 THEN {v} END, CASE WHEN side = '{side}' AND length({v}) >= 2 THEN (line_idx, line_id) END)"
 _DATE = r"regexp_extract(text, '(20\d{{2}})年\s*(\d{{1,2}})月\s*(\d{{1,2}})', {})"
 _YMD = f"{_DATE.format(1)} || '-' || lpad({_DATE.format(2)}, 2, '0') || '-' || lpad({_DATE.format(3)}, 2, '0')"
 _LAB, _LOOSE = r"regexp_extract(text, '发票号码[:：]\s*(\d{8,24})', 1)", r"regexp_extract(text, '(?:^|\D)(\d{8,24})(?:\D|$)', 1)"
@@ -137,6 +139,14 @@ _WORDS = ", ".join(f"count(*) FILTER (regexp_matches(reason, '{p}')) AS {n}" for
 ORACLE = {
     "invoice_fields": f"WITH {_FIELDS} SELECT * FROM fields",
     "invoice_fields_checked": f"WITH {_FIELDS} SELECT count(*) AS scans, count(*) FILTER (f.no = r.invoice_no) AS same_number FROM scan_files s JOIN fields f ON f.scan_id = s.scan_id JOIN invoice_records r ON r.row_id = s.row_id",
+    "version_bumps": "SELECT version, level, CASE WHEN NOT regexp_matches(v, '^\\d+\\.\\d+\\.\\d+$') THEN '0.0.1' WHEN l = 'major' THEN (p[1] + 1) || '.0.0' WHEN l = 'minor' THEN p[1] || '.' || (p[2] + 1) || '.0' ELSE p[1] || '.' || p[2] || '.' || (p[3] + 1) END AS next_version "
+    "FROM (SELECT version, level, coalesce(version, '0.0.0') AS v, coalesce(level, 'patch') AS l, list_transform(string_split(coalesce(version, '0.0.0'), '.'), lambda x: try_cast(x AS INT)) AS p FROM (VALUES " + ", ".join(f"({_q(a)}, {_q(b)})" for a, b in VERSIONS) + ") w(version, level))",
+    "build_numbers": "SELECT build, d || '.' || CASE WHEN starts_with(coalesce(build, ''), d || '.') THEN CAST(substr(build, length(d) + 2) AS INT) + 1 ELSE 1 END AS next_build FROM (SELECT build, replace(today, '-', '.') AS d FROM (VALUES " + ", ".join(f"({_q(a)}, {_q(b)})" for a, b in BUILDS) + ") w(build, today))",
+    "sections_of_parties": rf"""WITH l AS (SELECT *, trim(text, ' ') AS t, CASE WHEN regexp_matches(trim(text, ' '), '{ex.BUYER}') THEN 'buyer' WHEN regexp_matches(trim(text, ' '), '{ex.SELLER}') THEN 'seller' END AS head FROM ocr_lines WHERE length(trim(text, ' ')) > 0),
+      m AS (SELECT *, last_value(head IGNORE NULLS) OVER (PARTITION BY scan_id, page_no ORDER BY line_idx, line_id) AS side, regexp_replace(regexp_extract(t, '{ex.NAME}', 1), '[\s\pZ]+', '', 'g') AS nm,
+        CASE WHEN regexp_matches(t, '纳税人识别号|统一社会信用代码|税号|^[A-Z0-9]{{15,20}}$') THEN upper(regexp_extract(t, '{ex.CODE}', 1)) ELSE '' END AS cd FROM l),
+      p AS (SELECT scan_id, page_no, {_side('buyer', 'nm')} AS buyer_name, {_side('buyer', 'cd')} AS buyer_tax, {_side('seller', 'nm')} AS sn, {_side('seller', 'cd')} AS st FROM m WHERE head IS NULL AND side IS NOT NULL GROUP BY ALL)
+      SELECT scan_id, page_no, buyer_name, buyer_tax, CASE WHEN NOT coalesce(sn = buyer_name, false) THEN sn END AS seller_name, CASE WHEN NOT coalesce(st = buyer_tax, false) THEN st END AS seller_tax FROM p""",
     "page_classes": _CLASSES + " SELECT * FROM classes",
     "pages_to_check": _CLASSES + " SELECT scan_id, string_agg('第' || page_no || '页', '、' ORDER BY page_no) AS pages FROM classes WHERE blank_risk OR fragmented GROUP BY scan_id",
     "row_heights": "SELECT line_id, round(y - lead(y) OVER (PARTITION BY scan_id, page_no ORDER BY y DESC, x NULLS FIRST, line_id), 6) AS gap FROM ocr_lines WHERE y IS NOT NULL",

@@ -213,6 +213,77 @@ _FLAGS = " UNION ALL ".join(
     + [_flag(f, "abs(pretax + tax - total) > 0.05", "sum") for f in ("pretax_amount", "tax_amount", "total_amount")]
     + [_flag("tax_rate", f"{_t('tax_rate')} <> '' AND pct IS NULL", "unreadable"), _flag("tax_rate", f"pct NOT IN ({_COMMON})", "unusual")])
 _width = lambda c: f"SELECT '{c}' AS column_name, CAST(least(40, greatest(8, max(length(coalesce({c}, '')) + length(regexp_replace(coalesce({c}, ''), '[\\x00-\\x7F]', '', 'g'))) + 2)) AS INT) AS width FROM invoice_records"
+
+
+def _best(rows: str, keys: list[str], values: list[str], least: int, share: float, single: bool = False) -> str:
+    """The vote as a subquery."""
+    k = "".join(f"{x}, " for x in keys)
+    part = f"PARTITION BY {', '.join(keys)}" if keys else ""
+    won = f"(n >= {least} AND n / CAST(al AS DOUBLE) >= {share})" + (" OR kinds = 1" if single else "")
+    return f"""(SELECT {k}{', '.join(values)} FROM (SELECT *, sum(n) OVER ({part}) AS al, count(*) OVER ({part}) AS kinds, row_number() OVER ({part} ORDER BY n DESC, fst) AS rn
+      FROM (SELECT {k}{', '.join(values)}, count(*) AS n, min(row_id) AS fst FROM ({rows}) GROUP BY ALL)) WHERE rn = 1 AND ({won}))"""
+
+
+def _clean_sql(c: str) -> str:
+    """The name cleaning as nested SQL."""
+    w = f"regexp_replace(regexp_replace(coalesce({c}, ''), '[\\s\\pZ]+', '', 'g'), '{FRONT_LABEL}', '')"
+    rest = f"regexp_extract({w}, '^[一-龥]{{1,3}}[：:]+(.+)$', 1)"
+    t = f"(CASE WHEN {rest} <> '' AND regexp_matches({rest}, '{NAME_ENDS}') THEN {rest} ELSE {w} END)"
+    u = f"(CASE WHEN regexp_matches({t}, '[（(]个体工商户[）)]$') THEN {t} ELSE regexp_replace({t}, '[（(][^）)]*[）)]$', '') END)"
+    return f"regexp_replace({u}, '^[：:，,。 ]+|[：:，,。 ]+$', '', 'g')"
+
+
+def _reliable(f: str) -> str:
+    base = f"{f} <> '' AND {f} <> '待确认'"
+    if f in ("buyer_name", "seller_name"):
+        return f"{base} AND NOT {_suspicious(f)}"
+    if f in ("buyer_tax", "seller_tax"):
+        return f"{base} AND ({f} = '个人无税号' OR {_valid(f)})"
+    if f == "tax_rate":
+        return f"{base} AND ({f} = '免税' OR regexp_matches({f}, '^\\d{{1,2}}%$'))"
+    if f.endswith("_amount"):
+        return f"{base} AND regexp_matches(translate({f}, ',￥¥元', ''), '{money.NUMBER}')"
+    return base
+
+
+def _completed() -> str:
+    keep = [f for f in _FIELDS]
+    names = {"buyer_name", "seller_name"}
+    steps = ["f0 AS (SELECT row_id, coalesce(fields_needing_review, []) AS rev, " + ", ".join(f"{_clean_sql(_t(f)) if f in names else _t(f)} AS {f}" for f in keep) + " FROM invoice_records)"]
+    steps.append(f"k0 AS (SELECT *, {_FIELD_KEY} AS key FROM f0)")
+    agreed = ", ".join(f"CASE WHEN min(CASE WHEN {_reliable(f)} THEN {f} END) = max(CASE WHEN {_reliable(f)} THEN {f} END) THEN max(CASE WHEN {_reliable(f)} THEN {f} END) END AS v_{f}" for f in keep)
+    steps.append(f"a0 AS (SELECT key, {agreed} FROM k0 WHERE key IS NOT NULL GROUP BY key HAVING count(*) > 1)")
+    filled = ", ".join(f"CASE WHEN v_{f} IS NOT NULL AND ({f} = '' OR list_contains(rev, '{f}')) THEN v_{f} ELSE {f} END AS {f}" for f in keep)
+    known = "[" + ", ".join(f"CASE WHEN v_{f} IS NOT NULL THEN '{f}' ELSE '' END" for f in keep) + "]"
+    steps.append(f"f1 AS (SELECT row_id, list_filter(rev, lambda x: NOT list_contains({known}, x)) AS rev, {filled} FROM k0 LEFT JOIN a0 USING (key))")
+    now = "f1"
+    for side, nxt in (("buyer", "f2"), ("seller", "f3")):
+        n, t = f"{side}_name", f"{side}_tax"
+        pairs = lambda x, y: f"SELECT row_id, {x} AS source, {y} AS target FROM {now} WHERE {x} <> '' AND {y} <> ''"  # noqa: B023, E731
+        code = f"coalesce({n} <> '' AND b.target IS NOT NULL AND (upper({t}) = '' OR NOT {_valid(f'upper({t})')} OR upper({t}) <> b.target), false)"
+        rest = ", ".join(f for f in keep if f not in (n, t))
+        steps.append(f"""{nxt}m AS (SELECT m.*, b.target AS v_code, c.target AS v_name, {code} AS tc
+          FROM {now} m LEFT JOIN {_best(pairs(n, t), ['source'], ['target'], 2, 0.8, True)} b ON b.source = {n} LEFT JOIN {_best(pairs(t, n), ['source'], ['target'], 2, 0.8, True)} c ON c.source = upper({t}))""")
+        steps.append(f"{nxt}n AS (SELECT *, (NOT tc AND {t} <> '' AND {n} = '' AND v_name IS NOT NULL) AS tn FROM {nxt}m)")
+        steps.append(f"""{nxt} AS (SELECT row_id, list_filter(rev, lambda x: x <> CASE WHEN tc THEN '{t}' WHEN tn THEN '{n}' ELSE '' END) AS rev, {rest},
+          CASE WHEN tc THEN v_code ELSE {t} END AS {t}, CASE WHEN tn THEN v_name ELSE {n} END AS {n} FROM {nxt}n)""")
+        now = nxt
+
+    def common(src: str, side: str, winner: str, on: str, nxt: str) -> str:
+        n, t = f"{side}_name", f"{side}_tax"
+        need_n, need_t = f"(p.{n} IS NOT NULL AND (s.{n} = '' OR list_contains(s.rev, '{n}')))", f"(p.{n} IS NOT NULL AND (s.{t} = '' OR list_contains(s.rev, '{t}')))"
+        rest = ", ".join(f"s.{f}" for f in keep if f not in (n, t))
+        return f"""{nxt} AS (SELECT s.row_id, list_filter(s.rev, lambda x: NOT (x = '{n}' AND {need_n}) AND NOT (x = '{t}' AND {need_t})) AS rev, {rest},
+          CASE WHEN {need_n} THEN p.{n} ELSE s.{n} END AS {n}, CASE WHEN {need_t} THEN p.{t} ELSE s.{t} END AS {t} FROM {src} s LEFT JOIN {winner} p ON {on})"""
+
+    good_buyer = f"SELECT row_id, buyer_name, upper(buyer_tax) AS buyer_tax FROM f3 WHERE buyer_name <> '' AND NOT {_suspicious('buyer_name')} AND (upper(buyer_tax) = '个人无税号' OR {_valid('buyer_tax')})"
+    steps.append(common("f3", "buyer", _best(good_buyer, [], ["buyer_name", "buyer_tax"], 3, 0.5), "true", "f4"))
+    steps.append("f4c AS (SELECT *, CASE WHEN buyer_tax <> '' THEN upper(buyer_tax) ELSE buyer_name END AS ctx_buyer FROM f4)")
+    good_seller = f"SELECT row_id, ctx_buyer, invoice_type, tax_rate, seller_name, upper(seller_tax) AS seller_tax FROM f4c WHERE ctx_buyer <> '' AND invoice_type <> '' AND tax_rate <> '' AND seller_name <> '' AND NOT {_suspicious('seller_name')} AND {_valid('seller_tax')}"
+    steps.append(common("f4c", "seller", _best(good_seller, ["ctx_buyer", "invoice_type", "tax_rate"], ["seller_name", "seller_tax"], 3, 0.85), "p.ctx_buyer = s.ctx_buyer AND p.invoice_type = s.invoice_type AND p.tax_rate = s.tax_rate", "f5"))
+    return "WITH " + ",\n".join(steps) + " SELECT row_id, buyer_name, buyer_tax, seller_name, seller_tax, CAST(len(rev) AS INT) AS n_doubted FROM f5"
+
+
 QUERIES = {f.__name__: f for f in (
     invoice_typed, invoice_amount_checks, invoice_blank_on_conflict, invoice_rate_inferred, checksum_codes, names_cleaned, repeats_by_fields,
     repeats_by_archive, repeats_by_grid, record_kpis, pending_records, vote_unanimous, vote_mapping, vote_global_pair, vote_context_pair, vote_value,
@@ -247,6 +318,7 @@ ORACLE = {
     "vote_context_pair": _vote(_PLAIN, _SELLERS, ["ctx_buyer", "invoice_type", "tax_rate"], ["seller_name", "seller_tax"], "row_id", 3, 0.85),
     "vote_value": _vote(_PLAIN, "SELECT row_id, tax_rate AS value FROM plain WHERE tax_rate <> ''", [], ["value"], "row_id", 3, 0.35),
     "nation_of_customers": _vote("c AS (SELECT n_name, c_mktsegment, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey)", "SELECT * FROM c", ["n_name"], ["c_mktsegment"], "c_custkey", 2, 0.0),
+    "records_completed": _completed(),
     "quality_flags": f"WITH {_TYPED} {_FLAGS}",
     "quality_status": f"WITH {_TYPED}, f AS ({_FLAGS}) SELECT r.row_id, count(f.field) AS n_flags FROM invoice_records r LEFT JOIN f ON f.row_id = r.row_id GROUP BY r.row_id",
     "parties_swapped": f"""WITH {_PLAIN}, ct AS (SELECT upper(value) AS v FROM ({_vote('x AS (SELECT 1)', "SELECT row_id, buyer_tax AS value FROM plain WHERE buyer_tax <> ''", [], ['value'], 'row_id', 3, 0.35)})),
