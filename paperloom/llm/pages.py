@@ -215,8 +215,8 @@ def _retrieve(key: tuple, words: pd.DataFrame, known: pd.DataFrame) -> pd.DataFr
 
 
 def skeleton(word: str, learned: list[list[str]]) -> str:
-    """The word with every stretch that a recurring substitution makes put back, longer ones first."""
-    for right, wrong in sorted(learned, key=lambda x: (-len(x[1]), x)):
+    """The word with every stretch that a recurring substitution makes put back, longer ones first, twice for slips in slips."""
+    for right, wrong in 2 * sorted(learned, key=lambda x: (-len(x[1]), x)):
         if len(wrong) > len(right) or len(wrong) == len(right) == 1:
             word = word.replace(wrong, right)
     return word

@@ -99,7 +99,7 @@ def invoices(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     r1 = cut(join_sized(labelled, strong, ["label"], "inner", row_bytes=32))
     weak, rest = r1.where("strong = 0"), r1.where("strong = 1")
     # (preference, key) of a row; only keys under which exactly one sure invoice is known count
-    contents = [("day", "pre", "tax", "goods"), ("day", "total", "goods"), ("day", "pre", "tax", "seller_tax"), ("day", "pre", "tax", "buyer_tax"), ("day", "pre", "tax")]
+    contents = [("day", "pre", "tax", "goods"), ("day", "total", "goods"), ("day", "pre", "tax", "seller_tax"), ("day", "pre", "tax", "buyer_tax"), ("day", "pre", "tax"), ("pre", "tax", "goods", "seller_tax")]
 
     def plain_keys(df: DataFrame) -> DataFrame:
         return df.select("id", "label", F.explode(F.array(*(
