@@ -6,7 +6,13 @@ texts have no longer copy, also the last unfinished sentence of each text among
 of all texts (digits masked). Whole texts can be prefixes of others by chance, and sentences
 with names have no copy, so the join is completed by counts over the whole corpus: endings
 seen before a stop, closing lines seen at the end of other texts, and lengths at which a
-source piles up (a field limit). A text is cut if nothing shows its end to be complete.
+source piles up (a field limit). A text is cut if nothing shows its end to be complete, or if
+a longer copy shows that a known ending, a stop or a file name isn't its end:
+
+* its last sentence never stops there, goes on in a sentence that stops later, and not by a
+  mere appendix (a continuation that several complete sentences take);
+* the longer text goes on inside the same token ("list.xlsx" after "list.");
+* the longer text shares a sentence that hardly any other has, so it is no copy by chance.
 
 Null, empty and blank texts are whole. Repeated texts are judged once and reported for every
 row. Ties don't matter: no order among rows is used.
@@ -31,6 +37,8 @@ LEAST_CLOSINGS, CLOSINGS_SHARE = 3, 1e-4
 LIMIT_TEXTS, LIMIT_SHARE, LIMIT_TIMES, NEARBY = 8, 0.005, 8.0, 25
 #: Characters of an ending, Latin and ideographic; longest closing line; shortest prefix told.
 LATIN, HAN, CLOSING, PREFIX = 10, 5, 60, 20
+#: Characters kept of a continuation; complete sentences that make it an appendix; most texts that share a telling sentence.
+REST, APPENDIX, TELLING = 60, 2, 2
 
 _BREAK = re.compile(r"[。！？!?…]+|\.(?=\s|$)|\n")
 _STOP = re.compile(r"(?:[。！？!?…]|\.)[\"”’»）)」』]*$")
@@ -115,10 +123,73 @@ def strict_prefixes(values: DataFrame, column: str, least: int = PREFIX) -> Data
     return told.where("kind = 2").select(F.col("v").alias(column)).unionByName(across.select(F.col("v").alias(column))).distinct()
 
 
+def continuations(values: DataFrame) -> DataFrame:
+    """(v, whole, rest): how values of (v, whole) go on in longer ones, told where they do.
+
+    ``rest`` is the continuation in the nearest longer value that is whole, null if only values
+    that are not whole are longer. Values that begin with v stand directly behind it, so if any
+    whole one does, the next whole one in order does. One sort, from the end; between
+    partitions the first value and first whole value of each are compared.
+    """
+    spark = values.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = values.where(F.length("v") > 0).groupBy("v").agg(F.max("whole").alias("whole")).repartitionByRange(parts, "v").sortWithinPartitions(F.desc("v"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        part, after, after_whole = TaskContext.get().partitionId(), None, None
+        names = ["v", "whole", "rest", "begun", "part", "kind"]
+        for batch in batches:
+            out = []
+            for v, whole in zip(batch["v"], batch["whole"]):
+                if len(v) >= PREFIX:
+                    begun = after is not None and after.startswith(v)
+                    if after_whole is not None and after_whole.startswith(v):
+                        out.append((v, whole, after_whole[len(v) : len(v) + REST], True, part, 0))
+                    elif after_whole is None and (after is None or begun):
+                        out.append((v, whole, None, begun, part, 1))  # may go on in the next partition
+                    elif begun:
+                        out.append((v, whole, None, True, part, 0))
+                after = v
+                after_whole = v if whole else after_whole
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        if after is not None:
+            yield pd.DataFrame([(after, after_whole is not None, after_whole, False, part, 2)], columns=names)
+
+    told = cut(ordered.mapInPandas(run, "v string, whole boolean, rest string, begun boolean, part int, kind int"))
+    later = Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing)  # as many rows as partitions
+    edges = told.where("kind = 2").select("part", F.first("v").over(later).alias("next"), F.first("rest", ignorenulls=True).over(later).alias("next_whole"))
+    open_ = told.where("kind = 1").join(F.broadcast(edges), "part", "left")
+    starts = lambda c: F.coalesce(F.col(c).startswith(F.col("v")), F.lit(False))
+    open_ = open_.withColumn("rest", F.when(starts("next_whole"), F.substr("next_whole", F.length("v") + 1, F.lit(REST))))
+    open_ = open_.where(F.col("begun") | starts("next") | F.col("rest").isNotNull())
+    return told.where("kind = 0").select("v", "whole", "rest").unionByName(open_.select("v", "whole", "rest"))
+
+
+def goes_on(body: str, rest: str) -> str | None:
+    """Where a longer copy goes on: "inside" a token of the body, with an "added" file name or row only, or "behind" it."""
+    latin = lambda c: c.isalnum() and c < "⺀"
+    if latin(rest[:1] or " ") and (latin(body[-1]) or (body[-1] == "." and latin(body[-2:-1] or " "))):
+        return "inside"
+    line = rest.strip()
+    return "added" if len(rest) < REST and "\n" not in line and (_ROW.match(line) or _FILE.search(line)) else "behind"
+
+
+def _goes_on(bodies: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for body, rest in bodies:
+        yield pd.Series([goes_on(b, r) for b, r in zip(body, rest)], index=body.index, dtype=object)
+
+
+_goes_on.__annotations__ = {"bodies": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+
+
 def judge(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(key, source, evidence): evidence is null for whole texts, else what speaks for a cut.
 
-    "prefix": the text or its last sentence is a strict prefix of longer ones; "limit": it has
+    "prefix": the text or its last sentence is a strict prefix of longer ones, whatever its end
+    looks like if the longer one tells (see above); "limit": it has
     the length of a field limit of its source; "broken": it ends inside a character; "open":
     its end is unlike any complete one.
     """
@@ -136,10 +207,18 @@ def judge(documents: DataFrame, key: str = "doc_id", text: str = "text", source:
         texts.where("closing IS NOT NULL").groupBy("closing").count()
         .where(F.col("count") >= max(LEAST_CLOSINGS, n * CLOSINGS_SHARE)).select("closing", F.lit(True).alias("closed"))
     )
-    copies = strict_prefixes(texts, "body").withColumn("copied", F.lit(True))
-    fragments = strict_prefixes(
-        texts.select(F.col("fragment").alias("s")).unionByName(texts.select(F.explode("sentences").alias("s"))), "s"
-    ).select(F.col("s").alias("fragment"), F.lit(True).alias("begun"))
+    on = F.pandas_udf(_goes_on, T.StringType())
+    copies = cut(continuations(texts.select(F.col("body").alias("v"), F.lit(True).alias("whole"))).select(F.col("v").alias("body"), on("v", "rest").alias("on")))
+    sentences = texts.select("id", F.explode("sentences").alias("s"))
+    # copies that are none by chance: a sentence of them is in hardly any other text
+    doubted = texts.join(copies.where("on = 'behind'"), "body").select("id", F.explode("sentences").alias("s"))
+    rare = sentences.join(doubted.select("s").distinct(), "s", "left_semi").groupBy("s").count().where(F.col("count") <= TELLING)
+    telling = cut(doubted.join(rare, "s").select("id").distinct().withColumn("telling", F.lit(True)))
+    begun = cut(continuations(texts.select(F.col("fragment").alias("v"), F.lit(False).alias("whole")).unionByName(sentences.select(F.col("s").alias("v"), F.lit(True).alias("whole")))))
+    appendices = begun.where("whole AND rest IS NOT NULL").groupBy("rest").count().where(F.col("count") >= APPENDIX).select("rest", F.lit(True).alias("appendix"))
+    fragments = begun.join(appendices, "rest", "left").select(
+        F.col("v").alias("fragment"), F.lit(True).alias("begun"),
+        (~F.col("whole") & F.col("rest").isNotNull() & F.col("appendix").isNull()).alias("unfinished"))
     sizes = full.select("source", "text").distinct().withColumn("n", F.explode(F.array(
         F.struct(F.lit("chars").alias("unit"), F.length("text").alias("n")),
         F.struct(F.lit("bytes").alias("unit"), F.octet_length("text").alias("n"))))).select("source", "n.*")
@@ -157,16 +236,19 @@ def judge(documents: DataFrame, key: str = "doc_id", text: str = "text", source:
     judged = join_sized(judged, known_closings, ["closing"], "left")
     no = lambda c: F.coalesce(F.col(c), F.lit(False))
     judged = judged.withColumn("settled", F.col("stopped") | F.col("layout") | no("closed"))
-    # only texts whose end is still open need the prefixes: most others share the empty fragment
-    open_ = judged.where("NOT settled").join(copies, "body", "left").join(fragments, "fragment", "left")
-    flags = ["id", "broken", "settled", no("ended").alias("ended")]
-    judged = cut(open_.select(*flags, (no("copied") | no("begun")).alias("prefix")).unionByName(judged.where("settled").select(*flags, F.lit(False).alias("prefix"))))
+    judged = join_sized(judged.join(copies, "body", "left"), telling, ["id"], "left", row_bytes=64)
+    # texts that end with a stop share the empty fragment, which has no copy
+    flags = ["id", "broken", "settled", no("ended").alias("ended"), F.col("on").isNotNull().alias("copied"), (F.coalesce(F.col("on") == "inside", F.lit(False)) | no("telling")).alias("longer")]
+    some = judged.where("fragment <> ''").join(fragments, "fragment", "left").select(*flags, no("begun").alias("begun"), no("unfinished").alias("unfinished"))
+    none = judged.where("fragment = ''").select(*flags, F.lit(False).alias("begun"), F.lit(False).alias("unfinished"))
+    judged = cut(some.unionByName(none).select(
+        "id", "broken", "settled", "ended", (F.col("longer") | F.col("unfinished")).alias("longer"), (F.col("copied") | F.col("begun")).alias("prefix")))
     out = full.withColumn("id", F.xxhash64("text")).withColumn("src", F.coalesce("source", F.lit(""))).withColumn("chars", F.length("text")).withColumn("bytes", F.octet_length("text"))
     out = join_sized(out, by_chars, ["src", "chars"], "left", row_bytes=64)
     out = join_sized(out, by_bytes, ["src", "bytes"], "left", row_bytes=64)
     out = join_sized(out.select("key", "source", "id", (no("at_chars") | no("at_bytes")).alias("limit")), judged, ["id"], "left", row_bytes=64)
     evidence = (
-        F.when(F.col("broken"), "broken").when(F.col("settled"), None).when(F.col("limit"), "limit")
+        F.when(F.col("broken"), "broken").when(F.col("longer"), "prefix").when(F.col("settled"), None).when(F.col("limit"), "limit")
         .when(F.col("ended"), None).when(F.col("prefix"), "prefix").otherwise("open")
     )
     blank = rows.where(blank_text).select("key", "source", F.lit(None).cast("string").alias("evidence"))

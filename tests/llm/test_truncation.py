@@ -47,3 +47,31 @@ def test_repeats_and_nulls(spark):
     rows = corpus() + [(500, "The supplier delivers the goods wit", None), (501, "The supplier delivers the goods wit", "s"), (502, "y" * 200_000 + ".", None)]
     df = spark.createDataFrame(rows, "doc_id int, text string, source string")
     assert {r["doc_id"] for r in t.cut_texts(df).collect()} == {500, 501}
+
+
+def test_prefixes_decide(spark, monkeypatch):
+    """Ends that look complete, but a longer copy goes on; without the join these rows are lost."""
+    more = ["The list names the goods within ten days of the month", "The annex of nine pages in file list.xlsx shows all sums", "The scan was kept in folder nine as given to us"]
+    rows = corpus() + [(600, f"{more[0]}. {SENTENCES[1]}.", "s"), (601, f"{more[1]}. {SENTENCES[2]}.", "s"), (602, f"{more[2]}. Our desk has closed. {SENTENCES[2]}.", "s")]
+    rows += [(610 + i, f"{a}, as agreed. {SENTENCES[2]}.", "s") for i, a in enumerate(SENTENCES[:3])]  # an appendix
+    cut = [(700, "The list names the goods within ten days", "s"), (701, "The annex of nine pages in file list.xlsx", "s"), (702, "The annex of nine pages in file list.", "s"),
+           (703, f"{more[2]}. Our desk has closed.", "s")]
+    whole = [(710, SENTENCES[0], "s"), (711, f"{SENTENCES[0]}.", "r"), (712, f"{SENTENCES[0]}. {SENTENCES[1]}.", "r")]
+    df = spark.createDataFrame(rows + cut + whole, "doc_id int, text string, source string")
+    assert {r["doc_id"] for r in t.cut_texts(df).collect()} == {700, 701, 702, 703}
+    with monkeypatch.context() as m:
+        none = t.continuations
+        m.setattr(t, "continuations", lambda values: none(values).where("false"))
+        assert t.cut_texts(df).count() == 0
+
+
+def test_continuations_by_brute_force(spark):
+    rng = random.Random(5)
+    values = {"x" * 18 + "".join(rng.choice("ab") for _ in range(rng.randint(2, 9))): rng.random() < 0.4 for _ in range(300)}
+    got = {r["v"]: (r["whole"], r["rest"]) for r in t.continuations(spark.createDataFrame(list(values.items()), "v string, whole boolean")).collect()}
+    want = {}
+    for v, whole in values.items():
+        longer = sorted(w for w in values if w != v and w.startswith(v))
+        if longer:
+            want[v] = (whole, next((w[len(v):] for w in longer if values[w]), None))
+    assert got == want
