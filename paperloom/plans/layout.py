@@ -126,13 +126,20 @@ def median_heights(lines: DataFrame) -> DataFrame:
 
 
 def small_beside_large(boxes: DataFrame, keys: list[str], area: str, x: str, y: str, reach: float) -> DataFrame:
-    """Boxes without those that are under half the size of a box within reach in the same group."""
+    """Boxes without those that are under half the size of a box within reach in the same group.
+
+    Each box meets those of its own and the eight cells around, so a full group isn't compared all with all.
+    """
+    cell = lambda c: F.floor(F.col(c) / (reach * 1.001))  # noqa: E731  # a little wider than reach, so rounding skips no cell
+    around = lambda c: F.explode(F.array(*(cell(c) + off for off in (-1, 0, 1))))
+    small = boxes.withColumn("_cx", cell(x)).withColumn("_cy", cell(y))
     big = boxes.select(*keys, F.col(area).alias("b_area"), F.col(x).alias("bx"), F.col(y).alias("by"))
-    near = [boxes[k] == big[k] for k in keys] + [F.abs(F.col(x) - F.col("bx")) < reach, F.abs(F.col(y) - F.col("by")) < reach, F.col(area) * 2 < F.col("b_area")]
+    big = big.withColumn("_cx", around("bx")).withColumn("_cy", around("by"))
+    near = [small[k] == big[k] for k in [*keys, "_cx", "_cy"]] + [F.abs(F.col(x) - F.col("bx")) < reach, F.abs(F.col(y) - F.col("by")) < reach, F.col(area) * 2 < F.col("b_area")]
     cond = near[0]
     for n in near[1:]:
         cond &= n
-    return boxes.join(big, cond, "left_anti")
+    return small.join(big, cond, "left_anti").drop("_cx", "_cy")
 
 
 def confidence(words: DataFrame, keys: list[str], conf: str = "conf") -> DataFrame:

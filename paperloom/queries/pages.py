@@ -150,6 +150,12 @@ def small_beside_large(spark, d):
     return lo.small_beside_large(boxes, ["scan_id"], "area", "x", "y", 0.05).select("line_id")
 
 
+def small_beside_large_pages(spark, d):
+    """The lines of every page; ``small_beside_large`` has first pages only, as its SQL."""
+    boxes = _lines(spark, d).where("width IS NOT NULL").select("line_id", "scan_id", "page_no", "x", "y", (F.col("width") * F.col("height")).alias("area"))
+    return lo.small_beside_large(boxes, ["scan_id", "page_no"], "area", "x", "y", 0.05).select("line_id")
+
+
 def route_check(spark, d):
     return lo.route_check(table(spark, d, "scan_files"))
 
@@ -287,7 +293,7 @@ _amt = r"CAST(replace(nullif(regexp_extract(text, '[¥￥]?\s*(-?\d[\d,]*\.\d{2}
 QUERIES = {f.__name__: f for f in (
     doc_text_quality, line_cleaned, line_noise, doc_usable, page_metrics, page_marks, page_dropped, page_median_heights, doc_repeated_lines,
     doc_pipe_tables, pipe_column_shares, html_cells, html_grid, html_round_trip, page_spec, line_clusters, word_columns, doc_sections, continued_lines,
-    label_runs, nearest_amount, nearest_label, parties_by_place, labels_in_two_lines, small_beside_large, route_check, word_confidence,
+    label_runs, nearest_amount, nearest_label, parties_by_place, labels_in_two_lines, small_beside_large, small_beside_large_pages, route_check, word_confidence,
     document_confidence, edit_scores, edit_pairs, table_scores, text_likeness, eval_pages, eval_overall, eval_worst, check_tally, positional_match,
     style_top, text_chunks, overlap_dropped, best_table_match, words_in_documents)}
 _avg = lambda k: f"coalesce(avg(score) FILTER (kind = '{k}'), 0.0)"

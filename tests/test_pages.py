@@ -1,0 +1,21 @@
+"""Queries of pages over whole tables, against brute force."""
+
+import random
+
+from paperloom.queries import pages
+
+BOX = "line_id bigint, scan_id bigint, page_no int, x double, y double, width double, height double"
+
+
+def test_small_beside_large_on_every_page(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(i, 1 + i % 2, 1 + i // 60, rng.choice([0.05, 0.1, 0.15, rng.random(), -0.02]), rng.random() / 4, rng.choice([0.01, 0.03, 0.2]), 0.02) for i in range(240)]
+    rows += [(900, 1, 2, None, 0.1, 0.1, 0.1), (901, 1, 2, 0.1, None, 0.01, 0.01), (902, 1, 3, 0.1, 0.1, None, 0.1), (903, None, 3, 0.1, 0.1, 0.1, 0.1)]
+    spark.createDataFrame(rows, BOX).write.parquet(f"{tmp_path}/ocr_lines.parquet")
+
+    def dropped(s):
+        return any(g[1:3] == s[1:3] and None not in (*g[1:6], *s[3:6]) and abs(s[3] - g[3]) < 0.05 and abs(s[4] - g[4]) < 0.05 and s[5] * s[6] * 2 < g[5] * g[6] for g in rows)
+
+    got = sorted(r["line_id"] for r in pages.small_beside_large_pages(spark, str(tmp_path)).collect())
+    want = sorted(r[0] for r in rows if r[5] is not None and not dropped(r))
+    assert got == want and any(r[2] > 1 and dropped(r) for r in rows)
