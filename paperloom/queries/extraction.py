@@ -85,11 +85,19 @@ def noise_rows(spark, d):
     return df.select("id", ms.noise_row(F.col("cells")).alias("noise"), ms.sheet_title(F.col("cells")[0]).alias("title"))
 
 
-def box_corners(spark, d):
-    l = _lines(spark, d).where("page_no = 1")
+def _corners(l):
     return l.select("line_id", F.array_max(ms.corners(F.col("x"), F.col("y"), F.col("x") + F.col("width"), F.col("y") + F.col("height"))).alias("far"), ms.alignment(F.col("x"), F.col("x") + F.col("width"), F.lit(1.0)).alias("align"))
 
 
+def box_corners(spark, d):
+    return _corners(_lines(spark, d).where("page_no = 1"))
+
+
+def box_corners_pages(spark, d):
+    """The lines of every page; ``box_corners`` has first pages only, as its SQL."""
+    return _corners(_lines(spark, d))
+
+
 def changes_by_kind(spark, d):
     return ex.changes_by_kind(spark.createDataFrame(NOTES, "id int, note string"), "id", "note").select("id", "kind", "entry")
 
@@ -104,7 +112,7 @@ def page_plan(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     invoice_fields, invoice_fields_checked, sections_of_parties, page_classes, pages_to_check, row_heights, reading_order, version_bumps, build_numbers,
-    cache_keys, document_modes, company_names, company_chunks, noise_rows, box_corners, changes_by_kind, routes_by_day, page_plan)}
+    cache_keys, document_modes, company_names, company_chunks, noise_rows, box_corners, box_corners_pages, changes_by_kind, routes_by_day, page_plan)}
 _first = lambda v, t, o="page_no, line_idx, line_id": f"arg_min(CASE WHEN {t} THEN {v} END, CASE WHEN {t} THEN ({o}) END)"
 _q = lambda s: "NULL" if s is None else f"'{s}'"
 _side = lambda side, v: f"arg_min(CASE WHEN side = '{side}' AND length({v}) >= 2 THEN {v} END, CASE WHEN side = '{side}' AND length({v}) >= 2 THEN (line_idx, line_id) END)"

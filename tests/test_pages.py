@@ -2,7 +2,7 @@
 
 import random
 
-from paperloom.queries import pages
+from paperloom.queries import extraction, pages
 
 BOX = "line_id bigint, scan_id bigint, page_no int, x double, y double, width double, height double"
 
@@ -19,3 +19,10 @@ def test_small_beside_large_on_every_page(spark, tmp_path):
     got = sorted(r["line_id"] for r in pages.small_beside_large_pages(spark, str(tmp_path)).collect())
     want = sorted(r[0] for r in rows if r[5] is not None and not dropped(r))
     assert got == want and any(r[2] > 1 and dropped(r) for r in rows)
+
+
+def test_corners_of_every_page(spark, tmp_path):
+    rows = [(1, 1, 1, 0.1, 0.5, 0.8, 0.25), (2, 1, 2, 0.25, 0.5, 0.5, 0.25), (3, 1, 9, 0.75, 0.5, 0.125, 0.25), (4, 2, None, None, 0.5, 0.125, 0.0)]
+    spark.createDataFrame(rows, BOX).write.parquet(f"{tmp_path}/ocr_lines.parquet")
+    got = {r["line_id"]: (round(r["far"], 6), r["align"]) for r in extraction.box_corners_pages(spark, str(tmp_path)).collect()}
+    assert got == {1: (0.9, "left"), 2: (0.75, "center"), 3: (0.875, "right"), 4: (10.0, "left")}
