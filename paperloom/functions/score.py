@@ -38,7 +38,8 @@ def best_window_score(wanted: Column, pool: Column) -> Column:
 
 def bigrams(t: Column) -> Column:
     """Distinct pairs of neighbours; the text itself if it has one character only."""
-    pairs = F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substr(t, i, F.lit(2)))
+    chars = F.split(t, "")  # once: substr would walk a long text anew for every pair
+    pairs = F.zip_with(F.slice(chars, F.lit(1), F.length(t) - 1), F.slice(chars, F.lit(2), F.length(t) - 1), lambda a, b: F.concat(a, b))
     return F.when(F.length(t) > 1, F.array_distinct(pairs)).otherwise(F.array(t))
 
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.functions import score, text as tx
-from paperloom.operators import chunks, tables
+from paperloom.operators import chunks, numbering, tables
 from paperloom.plans import evaluation as ev
 from paperloom.plans import layout as lo
-from paperloom.runtime import table
+from paperloom.runtime import cut, table
 
 # Tables in markup and pages to name, for operators whose input no table holds.
 HTML = (
@@ -180,6 +180,14 @@ def edit_pairs(spark, d):
     return spark.createDataFrame(NEAR, "a string, b string").select("a", "b", score.edit_score(F.col("a"), F.col("b")).alias("score"), score.best_window_score(F.col("a"), F.col("b")).alias("window_score"))
 
 
+def edit_windows(spark, d):
+    """Each recognised line of an invoice's scan against the seller named in its record."""
+    names = table(spark, d, "invoice_records").where("seller_name IS NOT NULL").select("row_id", "seller_name")
+    scans = table(spark, d, "scan_files").select("scan_id", "row_id").join(names, "row_id").select("scan_id", "seller_name")
+    lines = _lines(spark, d).where("text IS NOT NULL").select("line_id", "scan_id", "text")
+    return lines.join(scans, "scan_id").select("line_id", score.best_window_score(F.col("seller_name"), F.col("text")).alias("window_score"))
+
+
 def table_scores(spark, d):
     pairs = (("<table><tr><td>a</td><td>b</td></tr><tr><td>1</td><td>2</td></tr></table>", "<table><tr><td>a</td><td>b</td></tr><tr><td>1</td><td>3</td></tr></table>"), ("", ""), ("<table><tr><td>a</td></tr></table>", ""))
     df = spark.createDataFrame(pairs, "a string, b string")
@@ -187,9 +195,14 @@ def table_scores(spark, d):
 
 
 def text_likeness(spark, d):
-    """First and last line of each document, by bigrams."""
-    parts = F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n")
-    return _docs(spark, d).where(F.length("text") > 0).select("doc_id", F.round(score.text_similarity(parts[0], F.element_at(parts, -1)), 6).alias("likeness"))
+    """Each document's whole text against that of the next document of its source, by bigrams; the last of a source has none."""
+    docs = _docs(spark, d).where(F.length("text") > 0)
+    placed = cut(numbering.numbered_within(docs.select("doc_id", "source", "received_at"), F.col("source"), ["received_at", "doc_id"]).select("doc_id", "key", "number"))
+    after = placed.select(F.col("doc_id").alias("next_id"), F.col("key").alias("next_key"), (F.col("number") - 1).alias("before"))
+    pairs = placed.join(after, F.col("key").eqNullSafe(F.col("next_key")) & (F.col("number") == F.col("before"))).select("doc_id", "next_id")
+    texts = docs.select("doc_id", "text")
+    both = pairs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("next_id"), F.col("text").alias("next_text")), "next_id")
+    return both.select("doc_id", "next_id", F.round(score.text_similarity(F.col("text"), F.col("next_text")), 6).alias("likeness"))
 
 
 def _scored(spark, d):
@@ -294,7 +307,7 @@ QUERIES = {f.__name__: f for f in (
     doc_text_quality, line_cleaned, line_noise, doc_usable, page_metrics, page_marks, page_dropped, page_median_heights, doc_repeated_lines,
     doc_pipe_tables, pipe_column_shares, html_cells, html_grid, html_round_trip, page_spec, line_clusters, word_columns, doc_sections, continued_lines,
     label_runs, nearest_amount, nearest_label, parties_by_place, labels_in_two_lines, small_beside_large, small_beside_large_pages, route_check, word_confidence,
-    document_confidence, edit_scores, edit_pairs, table_scores, text_likeness, eval_pages, eval_overall, eval_worst, check_tally, positional_match,
+    document_confidence, edit_scores, edit_pairs, edit_windows, table_scores, text_likeness, eval_pages, eval_overall, eval_worst, check_tally, positional_match,
     style_top, text_chunks, overlap_dropped, best_table_match, words_in_documents)}
 _avg = lambda k: f"coalesce(avg(score) FILTER (kind = '{k}'), 0.0)"
 ORACLE = {

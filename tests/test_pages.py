@@ -1,6 +1,8 @@
 """Queries of pages over whole tables, against brute force."""
 
+import datetime
 import random
+import re
 
 from paperloom.queries import extraction, pages
 
@@ -26,3 +28,55 @@ def test_corners_of_every_page(spark, tmp_path):
     spark.createDataFrame(rows, BOX).write.parquet(f"{tmp_path}/ocr_lines.parquet")
     got = {r["line_id"]: (round(r["far"], 6), r["align"]) for r in extraction.box_corners_pages(spark, str(tmp_path)).collect()}
     assert got == {1: (0.9, "left"), 2: (0.75, "center"), 3: (0.875, "right"), 4: (10.0, "left")}
+
+
+def likeness(a, b):
+    x, y = re.sub(r"\s+", "", a), re.sub(r"\s+", "", b)
+    if not x or not y:
+        return 1.0 if x == y else 0.0
+    grams = lambda t: {t[i : i + 2] for i in range(len(t) - 1)} or {t}
+    m, n = grams(x), grams(y)
+    short, long = sorted((x, y), key=len)
+    inside = 0.85 if len(short) < len(long) and short[:40] in long else 0.0
+    return max(inside, 0.5 * len(m & n) / len(m | n) + 0.3 * len(short) / len(long) + 0.2 * (x[:20] == y[:20]))
+
+
+def test_likeness_of_whole_texts(spark, tmp_path):
+    rng = random.Random(9)
+    texts = ["one line only", "first\nmiddle 🙂 line\nlast", "first\r\nother middle\r\nlast", "   ", "\n", "", None, "x", "长文本" * 3000, "长文本" * 2000 + "。"]
+    texts += ["".join(rng.choice("ab 。\n🙂") for _ in range(rng.randint(1, 90))) for _ in range(40)]
+    day = datetime.datetime(2026, 1, 1)
+    rows = [(i, t, ("a", "b", None)[i % 3], day + datetime.timedelta(days=i % 7) if i % 5 else None) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string, received_at timestamp").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for source in ("a", "b", None):
+        own = sorted((r for r in rows if r[2] == source and r[1]), key=lambda r: (r[3] is not None, r[3] or day, r[0]))
+        want |= {p[0]: (q[0], round(likeness(p[1], q[1]), 5)) for p, q in zip(own, own[1:])}
+    got = {r["doc_id"]: (r["next_id"], round(r["likeness"], 5)) for r in pages.text_likeness(spark, str(tmp_path)).collect()}
+    assert got == want
+
+
+def test_windows_over_tables(spark, tmp_path):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, e in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (c != e))
+        return row[-1]
+
+    def best(g, p):
+        ratio = lambda b: round((1 - distance(g, b) / max(len(g), len(b))) * 100, 2)
+        if not p:
+            return 0.0
+        if g in p:
+            return max(ratio(p), 92.0)
+        starts = range(0, max(0, len(p) - len(g) - 1) + 1, max(1, len(g) // 3)) if len(p) > 1.5 * len(g) else ()
+        return max([ratio(p), *(ratio(p[i : i + len(g) + 80]) for i in starts)])
+
+    lines = [(1, 7, "ABCDEFGH"), (2, 7, "xxABCDEFGHyy"), (3, 7, "z" * 150 + "ABCDEXGH"), (4, 7, ""), (5, 8, "ABCDEFGH"), (6, 9, "ABCD"), (7, 7, None), (8, 7, "ABCXEFGH")]
+    spark.createDataFrame(lines, "line_id bigint, scan_id bigint, text string").write.parquet(f"{tmp_path}/ocr_lines.parquet")
+    spark.createDataFrame([(7, 70), (8, None), (9, 90)], "scan_id bigint, row_id int").write.parquet(f"{tmp_path}/scan_files.parquet")
+    spark.createDataFrame([(70, "ABCDEFGH"), (90, None)], "row_id int, seller_name string").write.parquet(f"{tmp_path}/invoice_records.parquet")
+    got = {r["line_id"]: r["window_score"] for r in pages.edit_windows(spark, str(tmp_path)).collect()}
+    assert got == {i: best("ABCDEFGH", t) for i, scan, t in lines if scan == 7 and t is not None}
