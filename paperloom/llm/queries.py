@@ -101,11 +101,16 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.cut_rates(table(spark, d, "documents"))
 
 
+def p9_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Cut documents by what told them, whole ones as null."""
+    return truncation.judge(table(spark, d, "documents")).groupBy("evidence").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p2_found, p2_parties, p3_found, p3_paragraphs, p4_found, p4_survivors, p5_found, p5_canonical,
-        p6_found, p6_steps, p6_unmatched, p7_ids, p7_round_trip, p8_mix, p8_shares, p9_found, p9_rates,
+        p6_found, p6_steps, p6_unmatched, p7_ids, p7_round_trip, p8_mix, p8_shares, p9_found, p9_rates, p9_evidence,
     )
 }
 ORACLE: dict[str, str] = {}

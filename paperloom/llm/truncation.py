@@ -14,6 +14,11 @@ a longer copy shows that a known ending, a stop or a file name isn't its end:
 * the longer text goes on inside the same token ("list.xlsx" after "list.");
 * the longer text shares a sentence that hardly any other has, so it is no copy by chance.
 
+Values of any length are compared; a prefix shorter than PREFIX supports an open end but
+overrules none that looks complete, as short ones are prefixes by chance. Dots at the end are
+the author's own unless texts that end with dots pile up at that very length of the source:
+then the field put them there.
+
 Null, empty and blank texts are whole. Repeated texts are judged once and reported for every
 row. Ties don't matter: no order among rows is used.
 """
@@ -35,13 +40,14 @@ LEAST_ENDS, ENDS_SHARE = 2, 2e-5
 LEAST_CLOSINGS, CLOSINGS_SHARE = 3, 1e-4
 #: A length is a field limit if so many different texts of a source have it, such a share, and so many times more than others nearby.
 LIMIT_TEXTS, LIMIT_SHARE, LIMIT_TIMES, NEARBY = 8, 0.005, 8.0, 25
-#: Characters of an ending, Latin and ideographic; longest closing line; shortest prefix told.
+#: Characters of an ending, Latin and ideographic; longest closing line; shortest prefix that overrules an end that looks complete.
 LATIN, HAN, CLOSING, PREFIX = 10, 5, 60, 20
 #: Characters kept of a continuation; complete sentences that make it an appendix; most texts that share a telling sentence.
 REST, APPENDIX, TELLING = 60, 2, 2
 
 _BREAK = re.compile(r"[。！？!?…]+|\.(?=\s|$)|\n")
 _STOP = re.compile(r"(?:[。！？!?…]|\.)[\"”’»）)」』]*$")
+_DOTS = r"(\.\.\.|…)\s*$"
 _ROW = re.compile(r"\|.*\|$")
 _FILE = re.compile(r"[^\s/]\.(?:pdf|docx?|xlsx?|pptx?|txt|csv|md|rtf|od[tsp]|png|jpe?g|tiff?|gif|zip|7z|rar|eml|html?)$", re.I)
 _SIGN = re.compile(r"[\U0001f000-\U0001faff☀-➿️‍]$")
@@ -88,41 +94,6 @@ def _anatomies(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 _anatomies.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
 
 
-def strict_prefixes(values: DataFrame, column: str, least: int = PREFIX) -> DataFrame:
-    """Distinct values that are strict prefixes of others, found by one sort across the cluster.
-
-    Sorted by code unit a prefix stands directly before the values it begins, so only
-    neighbours are compared: inside a partition while it streams, and between partitions by
-    the first and last value of each (as many rows as partitions).
-    """
-    spark = values.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = values.select(F.col(column).alias("v")).where(F.length("v") > 0).distinct().repartitionByRange(parts, "v").sortWithinPartitions("v")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        part, before, edge = TaskContext.get().partitionId(), None, []
-        for batch in batches:
-            found = []
-            for v in batch["v"]:
-                if before is None:
-                    edge.append((v, part, 0))
-                elif len(before) >= least and v.startswith(before):
-                    found.append((before, part, 2))
-                before = v
-            if found:
-                yield pd.DataFrame(found, columns=["v", "part", "kind"])
-        if before is not None:
-            edge.append((before, part, 1))
-            yield pd.DataFrame(edge, columns=["v", "part", "kind"])
-
-    told = cut(ordered.mapInPandas(run, "v string, part int, kind int"))
-    edges = told.where("kind < 2").withColumn("next", F.lead("v").over(Window.orderBy("part", "kind")))
-    across = edges.where((F.col("kind") == 1) & (F.length("v") >= least) & (F.length("next") > F.length("v")) & F.col("next").startswith(F.col("v")))
-    return told.where("kind = 2").select(F.col("v").alias(column)).unionByName(across.select(F.col("v").alias(column))).distinct()
-
-
 def continuations(values: DataFrame) -> DataFrame:
     """(v, whole, rest): how values of (v, whole) go on in longer ones, told where they do.
 
@@ -143,7 +114,7 @@ def continuations(values: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for v, whole in zip(batch["v"], batch["whole"]):
-                if len(v) >= PREFIX:
+                if v:
                     begun = after is not None and after.startswith(v)
                     if after_whole is not None and after_whole.startswith(v):
                         out.append((v, whole, after_whole[len(v) : len(v) + REST], True, part, 0))
@@ -218,10 +189,13 @@ def judge(documents: DataFrame, key: str = "doc_id", text: str = "text", source:
     appendices = begun.where("whole AND rest IS NOT NULL").groupBy("rest").count().where(F.col("count") >= APPENDIX).select("rest", F.lit(True).alias("appendix"))
     fragments = begun.join(appendices, "rest", "left").select(
         F.col("v").alias("fragment"), F.lit(True).alias("begun"),
-        (~F.col("whole") & F.col("rest").isNotNull() & F.col("appendix").isNull()).alias("unfinished"))
+        (~F.col("whole") & (F.length("v") >= PREFIX) & F.col("rest").isNotNull() & F.col("appendix").isNull()).alias("unfinished"))
+    dotted = F.col("text").rlike(_DOTS)
+    # lengths at which texts pile up, and those at which texts that end with dots do: dots that the field put there
     sizes = full.select("source", "text").distinct().withColumn("n", F.explode(F.array(
         F.struct(F.lit("chars").alias("unit"), F.length("text").alias("n")),
-        F.struct(F.lit("bytes").alias("unit"), F.octet_length("text").alias("n"))))).select("source", "n.*")
+        F.struct(F.lit("bytes").alias("unit"), F.octet_length("text").alias("n")),
+        F.struct(F.lit("dots").alias("unit"), F.when(dotted, F.length("text")).alias("n"))))).select("source", "n.*").where("n IS NOT NULL")
     near = Window.partitionBy("source", "unit").orderBy("n").rangeBetween(-NEARBY, NEARBY)
     limits = (
         sizes.groupBy("source", "unit", "n").agg(F.count(F.lit(1)).alias("c"))
@@ -231,6 +205,7 @@ def judge(documents: DataFrame, key: str = "doc_id", text: str = "text", source:
     )
     limits = cut(limits.select(F.coalesce("source", F.lit("")).alias("src"), "unit", "n"))
     by_chars = limits.where("unit = 'chars'").select("src", F.col("n").alias("chars"), F.lit(True).alias("at_chars"))
+    by_dots = limits.where("unit = 'dots'").select("src", F.col("n").alias("chars"), F.lit(True).alias("dotted"), F.lit(True).alias("at_dots"))
     by_bytes = limits.where("unit = 'bytes'").select("src", F.col("n").alias("bytes"), F.lit(True).alias("at_bytes"))
     judged = join_sized(texts.drop("ends", "sentences"), known_ends, ["tail"], "left")
     judged = join_sized(judged, known_closings, ["closing"], "left")
@@ -238,17 +213,18 @@ def judge(documents: DataFrame, key: str = "doc_id", text: str = "text", source:
     judged = judged.withColumn("settled", F.col("stopped") | F.col("layout") | no("closed"))
     judged = join_sized(judged.join(copies, "body", "left"), telling, ["id"], "left", row_bytes=64)
     # texts that end with a stop share the empty fragment, which has no copy
-    flags = ["id", "broken", "settled", no("ended").alias("ended"), F.col("on").isNotNull().alias("copied"), (F.coalesce(F.col("on") == "inside", F.lit(False)) | no("telling")).alias("longer")]
+    flags = ["id", "broken", "settled", no("ended").alias("ended"), F.col("on").isNotNull().alias("copied"), ((F.length("body") >= PREFIX) & (F.coalesce(F.col("on") == "inside", F.lit(False)) | no("telling"))).alias("longer")]
     some = judged.where("fragment <> ''").join(fragments, "fragment", "left").select(*flags, no("begun").alias("begun"), no("unfinished").alias("unfinished"))
     none = judged.where("fragment = ''").select(*flags, F.lit(False).alias("begun"), F.lit(False).alias("unfinished"))
     judged = cut(some.unionByName(none).select(
         "id", "broken", "settled", "ended", (F.col("longer") | F.col("unfinished")).alias("longer"), (F.col("copied") | F.col("begun")).alias("prefix")))
-    out = full.withColumn("id", F.xxhash64("text")).withColumn("src", F.coalesce("source", F.lit(""))).withColumn("chars", F.length("text")).withColumn("bytes", F.octet_length("text"))
+    out = full.withColumn("id", F.xxhash64("text")).withColumn("src", F.coalesce("source", F.lit(""))).withColumn("chars", F.length("text")).withColumn("bytes", F.octet_length("text")).withColumn("dotted", dotted)
+    out = join_sized(out, by_dots, ["src", "chars", "dotted"], "left", row_bytes=64)
     out = join_sized(out, by_chars, ["src", "chars"], "left", row_bytes=64)
     out = join_sized(out, by_bytes, ["src", "bytes"], "left", row_bytes=64)
-    out = join_sized(out.select("key", "source", "id", (no("at_chars") | no("at_bytes")).alias("limit")), judged, ["id"], "left", row_bytes=64)
+    out = join_sized(out.select("key", "source", "id", no("at_dots").alias("dots"), (no("at_chars") | no("at_bytes")).alias("limit")), judged, ["id"], "left", row_bytes=64)
     evidence = (
-        F.when(F.col("broken"), "broken").when(F.col("longer"), "prefix").when(F.col("settled"), None).when(F.col("limit"), "limit")
+        F.when(F.col("broken"), "broken").when(F.col("longer"), "prefix").when(F.col("dots"), "limit").when(F.col("settled"), None).when(F.col("limit"), "limit")
         .when(F.col("ended"), None).when(F.col("prefix"), "prefix").otherwise("open")
     )
     blank = rows.where(blank_text).select("key", "source", F.lit(None).cast("string").alias("evidence"))

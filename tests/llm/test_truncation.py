@@ -19,12 +19,22 @@ def corpus():
     return out
 
 
-def test_prefixes_by_brute_force(spark):
+def test_short_prefixes_by_brute_force(spark):
+    """Values of every length are compared, across partitions too; nulls and empty ones are left out."""
     rng = random.Random(3)
     values = {"".join(rng.choice("ab") for _ in range(rng.randint(1, 8))) for _ in range(150)} | {"zz" * 20, "zz" * 30}
-    df = spark.createDataFrame([(v,) for v in values] * 2 + [(None,), ("",)], "v string")
-    want = {v for v in values if len(v) >= 2 and any(w != v and w.startswith(v) for w in values)}
-    assert {r["v"] for r in t.strict_prefixes(df, "v", 2).collect()} == want
+    df = spark.createDataFrame([(v, True) for v in values] * 2 + [(None, True), ("", True)], "v string, whole boolean")
+    want = {v for v in values if any(w != v and w.startswith(v) for w in values)}
+    assert {r["v"] for r in t.continuations(df).collect()} == want
+
+
+def test_dots_at_a_limit(spark):
+    """Dots are the author's own, unless texts with dots pile up at one length of the source."""
+    own = [(i, f"We are still waiting for the {'x' * i} parts...", "s") for i in range(30) if i != 25]
+    put = [(100 + i, f"{i:02d} The clerk of the desk will send the sum of the list to th...", "s") for i in range(20)]
+    other = [(200, put[0][1] + "", "r"), (201, "99 The clerk of the desk will send the sum of the list to us...", "r")]
+    df = spark.createDataFrame(own + put + other, "doc_id int, text string, source string")
+    assert {r["doc_id"] for r in t.cut_texts(df).collect()} == {100 + i for i in range(20)}
 
 
 def test_ends(spark):
