@@ -61,6 +61,48 @@ def test_fields_from_layers(spark):
     assert r["category"] == "kept"
 
 
+def test_values_of_undominated_records_come_first():
+    """A value of a dominated record isn't taken ahead of an undominated one's, though its class has the latest record."""
+    def cls(completeness, trust, **latest):
+        return {"completeness": completeness, "trust": trust, **dict.fromkeys(("row", *s.GIVEN)),
+                **{f: {"recency": r, "back": -row, "value": v} for f, (r, row, v) in latest.items()}}
+
+    got = s.filled([
+        cls(10, 3, row=(10, 1, "1"), seller_name=(10, 1, "a"), category=(9, 2, "of B")),  # A without a category, B dominated by A
+        cls(11, 2, row=(5, 3, "3"), seller_name=(5, 3, "c"), category=(5, 3, "of C"))])  # C undominated
+    assert (got["survivor_row_id"], got["seller_name"], got["category"]) == (1, "a", "of C")
+
+
+def test_layers_of_all_records_choose_the_same_values(spark):
+    """Leaving out records that are the latest in no field changes no value: random invoices by the definition."""
+    import random
+
+    rng = random.Random(11)
+    names = ("seller_name", "category", "tax_rate")
+    for _ in range(200):
+        records = [(rng.randint(0, 2), rng.randint(0, 2), t, row, {f: f"{f}{row}" for f in names if rng.random() < 0.4}) for row, t in enumerate(rng.sample(range(50), 6))]
+        classes = {}
+        for c, t, at, row, values in records:
+            k = classes.setdefault((c, t), {"completeness": c, "trust": t, **dict.fromkeys(("row", *s.GIVEN))})
+            for f, v in {**values, "row": str(row)}.items():
+                if k[f] is None or (at, -row) > (k[f]["recency"], k[f]["back"]):
+                    k[f] = {"recency": at, "back": -row, "value": v}
+        kept = {-k[f]["back"] for k in classes.values() for f in ("row", *names) if k[f]}
+        left = [r for r in records if r[3] in kept]
+        depth = s.layers([r[:3] for r in left])
+        ranked = [r for _, r in sorted(zip(depth, left), key=lambda x: (x[0], -x[1][1], -x[1][0], -x[1][2], x[1][3]))]
+        got = s.filled(list(classes.values()))
+        assert {f: got[f] for f in names} == {f: next((r[4][f] for r in ranked if f in r[4]), None) for f in names}
+        assert got["survivor_row_id"] == ranked[0][3]
+
+
+def test_every_doubt_counts(spark):
+    """Seven doubted fields are less trusted than six; doubts of unknown fields don't count."""
+    six = ["buyer_name", "buyer_tax", "seller_name", "seller_tax", "tax_rate", "line_items"]
+    rows = [row(1, doubt=[*six, "category"], at=9), row(2, doubt=[*six, "x", "y"], at=1)]
+    assert s.survivors(spark.createDataFrame(rows, SCHEMA)).first()["survivor_row_id"] == 2
+
+
 def test_layers_by_definition():
     points = [(a, b, c) for a, b, c in itertools.product(range(3), repeat=3)] + [(1, 1, 1)]
     beats = lambda p, q: all(x >= y for x, y in zip(p, q)) and p != q
