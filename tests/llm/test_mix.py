@@ -62,3 +62,31 @@ def test_empty(spark):
     d = docs(spark, []).where("doc_id < 0")
     picked, shares = m.mix(d, weights(spark, [("a", 1.0, 1)]))
     assert picked.count() == 0 and shares.count() == 1
+
+
+def test_shortages_go_to_siblings_through_the_operator(spark):
+    """A source without enough tokens: the other source of its domain and language makes up for it, no other."""
+    d = docs(spark, [("a", "en", 5, 20), ("b", "en", 300, 20), ("b", "de", 300, 20), ("c", "en", 300, 20)])
+    domains = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y")], "source string, domain string")
+    w = weights(spark, [("a", 0.3, 1), ("b", 0.4, 1), ("c", 0.3, 1)])
+    s = {r["source"]: r["mix_tokens"] for r in m.mix(d, w, budget=6000, domains=domains)[1].collect()}
+    most = 30  # tokens of a document at most
+    assert s["a"] < 200 and abs(s["b"] - (2400 + 1800 - s["a"])) <= most and abs(s["c"] - 1800) <= most
+    alone = {r["source"]: r["mix_tokens"] for r in m.mix(d, w, budget=6000)[1].collect()}  # no common domain: all others share
+    assert alone["b"] < s["b"] and alone["c"] > s["c"]
+
+
+def test_sources_miss_by_less_than_a_document(spark):
+    """Many leaves with long documents: their roundings don't add up."""
+    d = docs(spark, [("a", f"l{i}", 8, 150) for i in range(12)] + [("b", "en", 400, 20)])
+    s = {r["source"]: r for r in m.mix(d, weights(spark, [("a", 0.5, 1), ("b", 0.5, 1)]), budget=12_000)[1].collect()}
+    assert abs(s["a"]["mix_tokens"] - 6000) < 300 and abs(s["b"]["mix_tokens"] - 6000) < 40
+
+
+def test_zero_capacity_and_refusal(spark, monkeypatch):
+    d = docs(spark, [("a", "en", 30, 20), ("b", "en", 30, 20)])
+    s = {r["source"]: r["mix_tokens"] for r in m.mix(d, weights(spark, [("a", 0.5, 1), ("b", 0.5, 0)]))[1].collect()}
+    assert s["a"] > 0 and s["b"] == 0
+    monkeypatch.setattr(m, "MOST_LEAVES", 1)
+    with pytest.raises(ValueError):
+        m.mix(d, weights(spark, [("a", 0.5, 1), ("b", 0.5, 1)]))
