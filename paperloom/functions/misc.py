@@ -10,7 +10,7 @@ ORG_WORDS = ("公司", "研究院", "勘察院", "中心", "银行", "学校", "
 ORG_ALONE = ("公司", "有限公司", "有限责任公司", "股份有限公司", "研究院", "分院", "中心", "银行", "学校", "单位")
 BANK_WORDS = ("开户银行", "银行账号", "收款人", "复核人")
 LABELS = ("统一社会信用", "纳税人识别", "开户银行", "银行账号", "项目名称")
-POOR_GLYPHS = "語泡夠註柔訂订后颔漿"
+POOR_GLYPHS = "語泡夠註柔訂订後颔漿"
 ORG_END = (
     r"(?:有限责任公司|股份有限公司|有限公司|分公司|(?:研究院|勘察院)(?![^，,;；]{0,12}(?:分院|有限公司|有限责任公司|股份有限公司))"
     r"|分院|商行|中心|银行|学校|单位|店(?:[（(]个体工商户[）)])?|厂)"
@@ -95,7 +95,11 @@ def corners(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.array(a, b, c, b, c, d, a, d)
 
 
-def alignment(x0: Column, x1: Column, page: Column) -> Column:
-    """centre, right or left of a block by its middle and width."""
-    mid, width = (x0 + x1) / 2 / page, (x1 - x0) / page
-    return F.when((F.abs(mid - 0.5) < 0.06) & (width < 0.7), "center").when((mid > 0.65) & (width < 0.5), "right").otherwise("left")
+def alignment(x0: Column, x1: Column, page: Column, text: Column) -> Column:
+    """center, right or left of a block by its text, width and middle."""
+    t = F.coalesce(text, F.lit(""))
+    middle, width = (x0 + x1) / 2 / page, (x1 - x0) / page
+    return (
+        F.when(F.trim(t).rlike(r"^甲\s*方|^乙\s*方"), "left").when(t.contains("服务合同") | (F.trim(t) == "合同"), "center")
+        .when(width > 0.58, "center").when(middle.between(0.36, 0.64) & ((width > 0.38) | (F.length(t) <= 36)), "center")
+        .when(middle >= 0.68, "right").otherwise("left"))

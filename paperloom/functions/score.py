@@ -24,14 +24,17 @@ def edit_score(a: Column, b: Column) -> Column:
 
 
 def best_window_score(wanted: Column, pool: Column) -> Column:
-    """Best score of a text against a longer pool: whole, contained, or sliding windows of it."""
+    """Best score of a text against a longer pool: whole, contained, or sliding windows of it.
+
+    The distance of a contained text is what the pool has beside it, so it needs no table of edits.
+    """
     g, p = compact(wanted), compact(pool)
     whole = F.bround(edit_ratio(g, p) * 100, 2)
     step = F.greatest(F.lit(1), F.floor(F.length(g) / 3).cast("int"))
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(p) - F.length(g) - 1), step)
     windows = F.transform(starts, lambda i: F.bround(edit_ratio(g, F.substr(p, i + 1, F.length(g) + EXTRA)) * 100, 2))
     return (
-        F.when(g == "", 100.0).when(p == "", 0.0).when(F.instr(p, g) > 0, F.greatest(whole, F.lit(CONTAINED)))
+        F.when(g == "", 100.0).when(p == "", 0.0).when(F.instr(p, g) > 0, F.greatest(F.bround(F.length(g) / F.length(p) * 100, 2), F.lit(CONTAINED)))
         .when(F.length(p) > F.length(g) * 1.5, F.greatest(whole, F.array_max(windows))).otherwise(whole)
     )
 
@@ -65,3 +68,18 @@ def table_score(a: Column, b: Column) -> Column:
     """Per cent likeness of two tables by the edit distance of their flat forms; 100 if both are empty."""
     none = lambda t: F.size(t) == 0
     return F.when(none(a) & none(b), 100.0).when(none(a) | none(b), 0.0).otherwise(F.bround(edit_ratio(flat_table(a), flat_table(b)) * 100, 2))
+
+
+def layout_similarity(ours: str, theirs: str) -> Column:
+    """Likeness of two page layouts from columns with the two prefixes: paragraphs, left, center, right, text_len.
+
+    Weights are summed for what applies; pictures and tables are in neither, which counts as alike.
+    """
+    a, b = (lambda c: F.col(ours + c)), (lambda c: F.col(theirs + c))
+    ratio = lambda c: F.least(a(c), b(c)) / F.greatest(a(c), b(c), F.lit(1))
+    aligns = ("left", "center", "right")
+    far = sum((F.abs(a(c) - b(c)) for c in aligns), F.lit(0))
+    total = F.greatest(sum((b(c) for c in aligns), F.lit(0)), F.lit(1))
+    paragraphs = F.when((a("paragraphs") > 0) & (b("paragraphs") > 0), ratio("paragraphs") * 0.2).otherwise(0.0)
+    length = F.when((a("text_len") > 0) | (b("text_len") > 0), ratio("text_len") * 0.25).otherwise(0.0)
+    return F.least(F.lit(1.0), paragraphs + F.greatest(F.lit(0.0), 1 - far / total) * 0.25 + 0.15 + length)

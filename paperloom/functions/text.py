@@ -11,7 +11,20 @@ from pyspark.sql import functions as F
 KEPT_SHORT = ("分值", "备注", "序号", "日期", "姓名")
 MARK_PIECES = ("臻子", "至善", "厚生", "德厚", "李于", "正德", "哪生", "名厚")
 MARK_HINTS = ("臻", "至善", "厚生", "德厚")
-MARKS = ("德厚生臻子至美", "德厚生", "正德厚生?", "正臻子", "名厚生", "臻子至善", "李于至善", "生臻子至善", "臻予玉")
+MARKS = (
+    r"德厚生臻子至美\s*", r"德厚生\s*", r"正德厚生?\s*", r"正臻子\s*", r"名厚生\s*", r"正德厚生臻子不?\"?\s*", "臻子至善", "李于至善", "生臻子至善",
+    r"于至善[。.]?\s*", r"哪生臻子不\"?\s*", r"臻予玉\s*", r"臻、\s*",
+)
+STATIC_MARKS = (
+    "臻子至善", "李于至善", "生臻子至善", "德厚生臻子至美", "德厚生臻子", "正德厚生", "正德厚生臻子", "哪生臻子", "臻予玉", "想", "于至善", "厚",
+    "正德厚生臻子不", "生牛", "器", "德厚生", "名厚生",
+)
+# Misreadings of scanned pages and what they stand for, applied in this order.
+FIXES = (
+    ("56生态", "5G生态"), ("勤察", "勘察"), ("粉察", "勘察"), ("勒茶", "勘察"), ("限眼同的求", "按照"), ("甲防", "甲方"), ("平方", "甲方"), ("上渣", "上海"),
+    ("勤装", "勘察"), ("黑章", "盖章"), (r"舍:\s*公", "："), ("授校", "授权"), ("仅器", "仪器"), ("寄注", "备注"), ("个同专用章", "合同专用章"),
+    ("[1I]硬件", "IT硬件"), (r"SU[\\／/]系统", "SDN系统"), ("报客户机", "瘦客户机"),
+)
 SIGN_WORDS = ("签字", "盖章", "签章", "日期", "甲方", "乙方", "合同专用章", "授权代表", "法定代表人", "第八条", "第九条", "签字页", "签章页")
 EVAL_MARKS = "(臻子至善|李于至善|德厚生|正德厚生|哪生臻子|名厚生|于至善|厚生臻子|德厚|正德)"
 LOW_QUALITY = 0.28
@@ -24,17 +37,28 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def cleaned(c: Column) -> Column:
-    """One-line text without heading marks and pieces of watermarks; null counts as empty."""
-    def without_marks(t: Column) -> Column:
+def stripped(c: Column) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def replaced(c: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
+    """Patterns replaced one after the other; texts without any of them are passed by."""
+    def each(t: Column) -> Column:
         out = t
-        for mark in MARKS:
-            out = F.regexp_replace(out, mark + r"\s*", "")
-        return F.when(t.rlike("|".join(MARKS)), out).otherwise(t)
+        for pattern, by in pairs:
+            out = F.regexp_replace(out, "(?U)" + pattern, by)
+        return F.when(t.rlike("(?U)" + "|".join(p for p, _ in pairs)), out).otherwise(t)
 
-    plain = F.trim(F.translate(F.coalesce(c, F.lit("")), "　", " "))
-    headless = let(plain, lambda t: F.when(t.startswith("#"), F.regexp_replace(t, r"^#{1,6}\s+", "")).otherwise(t))
-    return F.trim(F.regexp_replace(let(headless, without_marks), r"\s+", " "))
+    return let(c, each)
+
+
+def cleaned(c: Column) -> Column:
+    """One-line text without heading marks and pieces of watermarks, known misreadings put right; null counts as empty."""
+    plain = stripped(F.translate(F.coalesce(c, F.lit("")), "　", " "))
+    headless = let(plain, lambda t: F.when(t.startswith("#"), F.regexp_replace(t, r"(?U)^#{1,6}\s+", "")).otherwise(t))
+    fixed = replaced(replaced(headless, tuple((m, "") for m in MARKS)), FIXES)
+    return stripped(F.regexp_replace(fixed, SPACE, " "))
 
 
 def compact(c: Column) -> Column:

@@ -2,10 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.functions.score import TABLE_WEIGHT, TEXT_WEIGHT
+from paperloom.functions.score import TABLE_WEIGHT, TEXT_WEIGHT, best_window_score, table_score
+from paperloom.functions.text import IMAGE_LINK
+from paperloom.operators.tables import html_rows
+
+TABLE = r"(?is)<table.*?</table>"
+
+
+def predicted_text(markdown: Column) -> Column:
+    """Text of a page without tables and pictures, in one line."""
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(markdown, F.lit("")), TABLE, ""), IMAGE_LINK, "")
+    return F.trim(F.regexp_replace(bare, r"(?U)\s+", " "))
+
+
+def scored(truth: DataFrame, predictions: DataFrame, page: str) -> DataFrame:
+    """(page, kind, place, score) of the true blocks against the predicted page, an empty one where there is none.
+
+    ``truth`` has page, kind (text or table), place, ignore and text; ignored blocks and empty texts are left out.
+    A text is sought in the page's whole text, the k-th table of the page compared with its k-th predicted one.
+    """
+    p = predictions.groupBy(page).agg(F.max("markdown").alias("_md"))
+    t = truth.where(~F.coalesce("ignore", F.lit(False))).withColumn("place", F.coalesce("place", F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy(page).orderBy("place"))
+    tables = t.where("kind = 'table'").withColumn("_k", rank).join(p, page, "left")
+    given = F.coalesce(F.try_element_at(F.regexp_extract_all(F.coalesce("_md", F.lit("")), F.lit(TABLE), 0), F.col("_k")), F.lit(""))
+    tables = tables.select(page, "kind", "place", table_score(html_rows(F.col("text")), html_rows(given)).alias("score"))
+    texts = t.where("kind = 'text' AND text <> ''").join(p.select(page, predicted_text(F.col("_md")).alias("_md")), page, "left")
+    texts = texts.select(page, "kind", "place", best_window_score(F.col("text"), F.coalesce("_md", F.lit(""))).alias("score"))
+    return texts.unionByName(tables)
 
 
 def page_report(blocks: DataFrame) -> DataFrame:

@@ -28,6 +28,9 @@ def invoice_fields(lines: DataFrame) -> DataFrame:
     date = F.regexp_extract(t, r"(20\d{2})年\s*(\d{1,2})月\s*(\d{1,2})", 0)
     ymd = F.concat_ws("-", F.regexp_extract(t, r"(20\d{2})年\s*(\d{1,2})月\s*(\d{1,2})", 1),
                       *(F.lpad(F.regexp_extract(t, r"(20\d{2})年\s*(\d{1,2})月\s*(\d{1,2})", i), 2, "0") for i in (2, 3)))
+    # digits parted by blanks, looked at if no line has a written date
+    spaced = r"\b(20\d{2})\s+(0?[1-9]|1[0-2])\s+(0?[1-9]|[12]\d|3[01])\b"
+    apart = F.concat_ws("-", F.regexp_extract(t, spaced, 1), *(F.lpad(F.regexp_extract(t, spaced, i), 2, "0") for i in (2, 3)))
     labelled = F.regexp_extract(t, r"发票号码[:：]\s*(\d{8,24})", 1)
     loose = F.regexp_extract(t, r"(?:^|\D)(\d{8,24})(?:\D|$)", 1)
     near = (F.col("y") > 0.86) & (F.col("y") < 0.98) & (loose != "")
@@ -37,7 +40,7 @@ def invoice_fields(lines: DataFrame) -> DataFrame:
     amount = F.when(money != "", F.translate(money, ",", "").cast("double"))
     first = lambda value, test, by=order: F.min_by(F.when(test, value), F.when(test, by))
     f = lines.where("text IS NOT NULL").groupBy("scan_id").agg(
-        first(ymd, date != "").alias("day"), first(labelled, labelled != "").alias("labelled"),
+        F.coalesce(first(ymd, date != ""), first(apart, t.rlike(spaced))).alias("day"), first(labelled, labelled != "").alias("labelled"),
         first(loose, near, F.struct(F.abs(F.col("y") - 0.90), "page_no", "line_idx", "line_id")).alias("loose"),
         F.max(t.contains("电子发票")).alias("electronic"), F.max(t.rlike("专用|支用|索用")).alias("special"), F.max(t.rlike("普通发票|普票")).alias("ordinary"),
         F.max(t.contains("增值税")).alias("vat"), first(F.concat(rate, F.lit("%")), rate != "").alias("rate"),
@@ -150,3 +153,80 @@ def page_plan(files: DataFrame, spec: Column, turn: Column) -> DataFrame:
 
     pages = files.where("page_count > 0").select("scan_id", F.explode(F.coalesce(page_numbers(spec, F.col("page_count")), F.sequence(F.lit(0), F.col("page_count") - 1))).alias("page"))
     return pages.select("scan_id", "page", F.pmod(turn, F.lit(360)).alias("rotation"))
+
+
+#: Rectangles (left, right, bottom, top) of an invoice's amounts: before tax, tax, total, in four layouts; then of the rate.
+LAYOUTS = (
+    ((0.66, 0.80, 0.30, 0.36), (0.86, 0.98, 0.30, 0.36), (0.72, 0.88, 0.23, 0.31)),
+    ((0.62, 0.74, 0.43, 0.50), (0.90, 0.99, 0.43, 0.50), (0.62, 0.78, 0.18, 0.24)),
+    ((0.62, 0.76, 0.15, 0.22), (0.88, 0.99, 0.15, 0.22), (0.70, 0.84, 0.10, 0.16)),
+    ((0.68, 0.80, 0.48, 0.64), (0.88, 0.98, 0.48, 0.64), None),
+)
+RATE_PLACES = ((0.76, 0.86, 0.48, 0.64), (0.70, 0.90, 0.42, 0.70))
+
+
+def amounts_by_place(lines: DataFrame) -> DataFrame:
+    """(scan_id, page_no, pretax, tax, total, rate) by the rectangles that the middles of lines fall into.
+
+    In each rectangle the value nearest to its middle counts, ties by reading order; the layouts are
+    tried in order for what is still missing, one without amount and tax gives no total.
+    """
+    t = F.trim("text")
+    number = F.regexp_extract(t, r"(?:¥|￥)?\s*(-?\d{1,8}(?:,\d{3})*(?:\.\d{2}))", 1)
+    value = F.when(number != "", F.translate(number, ",", "").cast("double"))
+    percent = F.regexp_extract(t, r"(?:^|\D)(\d{1,2})\s*%", 1)
+    l = lines.where(F.length(t) > 0).select(
+        "scan_id", "page_no", "line_idx", "line_id", value.alias("v"), F.when(percent != "", F.concat(percent, F.lit("%"))).alias("p"),
+        (F.col("x") + F.col("width") / 2).alias("mx"), (F.col("y") + F.col("height") / 2).alias("my")).where("v IS NOT NULL OR p IS NOT NULL")
+
+    def pick(name: str, box: tuple | None) -> Column:
+        if box is None:
+            return F.lit(None)
+        a, b, c, e = box
+        test = F.col("mx").between(a, b) & F.col("my").between(c, e) & F.col(name).isNotNull()
+        far = F.abs(F.col("mx") - (a + b) / 2) + F.abs(F.col("my") - (c + e) / 2)
+        return F.min_by(F.when(test, F.col(name)), F.when(test, F.struct(F.round(far, 9), "line_idx", "line_id")))
+
+    picked = l.groupBy("scan_id", "page_no").agg(
+        *(pick("v", box).cast("double").alias(f"l{i}_{n}") for i, boxes in enumerate(LAYOUTS) for n, box in zip(("pretax", "tax", "total"), boxes)),
+        *(pick("p", box).alias(f"r{i}") for i, box in enumerate(RATE_PLACES)))
+    known = lambda i: F.col(f"l{i}_pretax").isNotNull() | F.col(f"l{i}_tax").isNotNull()
+    return picked.select(
+        "scan_id", "page_no", *(F.coalesce(*(F.when(known(i), F.col(f"l{i}_{n}")) for i in range(len(LAYOUTS)))).alias(n) for n in ("pretax", "tax", "total")),
+        F.coalesce("r0", "r1").alias("rate")).where("pretax IS NOT NULL OR tax IS NOT NULL OR total IS NOT NULL OR rate IS NOT NULL")
+
+
+def party_lines(texts: DataFrame, keys: list[str], text: str, top: str, bottom: str) -> DataFrame:
+    """(keys, part, text, y0, y1): lines that name several parties parted before each one, their boxes in equal shares."""
+    pieces = F.filter(F.transform(F.split(text, "(?=甲\\s*方|乙\\s*方)"), lambda c: F.trim(c)), lambda c: c.rlike("^(甲\\s*方|乙\\s*方)"))
+    t = texts.where(F.col(text).rlike("甲\\s*方")).withColumn("_p", pieces).where(F.size("_p") >= 2).withColumn("_n", F.size("_p"))
+    high = F.greatest(F.col(bottom) - F.col(top), F.lit(1.0))
+    t = t.select(*keys, F.col(top).alias("_a"), high.alias("_h"), "_n", F.posexplode("_p").alias("part", "text"))
+    at = lambda i: F.col("_a") + F.floor(F.col("_h") * (i / F.col("_n")))
+    return t.select(*keys, "part", "text", at(F.col("part")).alias("y0"), at(F.col("part") + 1).alias("y1"))
+
+
+def sentence_blocks(texts: DataFrame, key: str, text: str, kinds: tuple[str, ...]) -> DataFrame:
+    """(key, kind, block): sentences of a text shared out to kinds of blocks in order, equally, the last one takes the rest."""
+    fixes = (("56生态", "5G生态"), ("勤察|粉察", "勘察"), ("CNCCT[BD]-SS", "CMCCTD-SS"), ("&lt;", "<"))
+    plain = F.translate(F.coalesce(F.col(text), F.lit("")), "　", " ")
+    for pattern, by in fixes:
+        plain = F.regexp_replace(plain, pattern, by)
+    plain = F.trim(F.regexp_replace(plain, r"(?U)\s+", " "))
+    parts = F.filter(F.transform(F.split(plain, r"(?<=[。；;！!？?])\s*"), lambda p: F.trim(p)), lambda p: p != "")
+    n, k = F.size("parts"), len(kinds)
+    share = F.greatest(F.lit(1), F.floor(n / k).cast("int"))
+    block = lambda i: F.when(n >= k, F.array_join(F.slice("parts", i * share + 1, share if i < k - 1 else F.greatest(n - i * share, F.lit(0))), " ")).otherwise(
+        F.coalesce(F.try_element_at("parts", F.lit(i + 1)), F.lit("")))
+    t = texts.select(key, parts.alias("parts"))
+    return t.select(key, F.explode(F.array(*(F.struct(F.lit(name).alias("kind"), block(i).alias("block")) for i, name in enumerate(kinds)))).alias("b")).select(key, "b.kind", "b.block")
+
+
+def log_exams(lines: DataFrame, text: str) -> DataFrame:
+    """(tier, n, pages, mean_pages, billed): what log lines say of examined files; recognised pages are billed twice."""
+    t = lines.where(F.col(text).contains("PDF体检")).select(
+        F.regexp_extract(text, r"tier=(\d+)", 1).cast("int").alias("tier"), F.regexp_extract(text, r"pages=(\d+)", 1).alias("p"))
+    pages = F.when(F.col("p") != "", F.col("p").cast("bigint"))
+    return t.groupBy("tier").agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(pages), F.lit(0)).alias("pages"), F.round(F.avg(pages), 6).alias("mean_pages"),
+        F.coalesce(F.sum(F.when((F.col("tier") == 2) & (pages > 0), pages * 2)), F.lit(0)).alias("billed"))

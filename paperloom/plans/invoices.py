@@ -58,11 +58,15 @@ def mapping(rows: DataFrame, source: str, target: str) -> DataFrame:
     return dominant(pairs, ["source"], ["target"], "row_id", *MAPPING, single=True)
 
 
+def sound_buyers(rows: DataFrame) -> DataFrame:
+    """Records with a plausible buyer name and a valid code, or the sentinel of private buyers."""
+    return rows.withColumn("buyer_tax", F.upper("buyer_tax")).where(
+        (F.col("buyer_name") != "") & ~suspicious(F.col("buyer_name")) & ((F.col("buyer_tax") == NO_CODE) | valid_credit_code(F.col("buyer_tax"))))
+
+
 def buyer_pair(rows: DataFrame) -> DataFrame:
     """The one buyer of most records, as (buyer_name, buyer_tax, n, share); no row if none is."""
-    good = rows.withColumn("buyer_tax", F.upper("buyer_tax")).where(
-        (F.col("buyer_name") != "") & ~suspicious(F.col("buyer_name")) & ((F.col("buyer_tax") == NO_CODE) | valid_credit_code(F.col("buyer_tax"))))
-    return dominant(good, [], ["buyer_name", "buyer_tax"], "row_id", *BUYER)
+    return dominant(sound_buyers(rows), [], ["buyer_name", "buyer_tax"], "row_id", *BUYER)
 
 
 def context(rows: DataFrame) -> DataFrame:
@@ -81,9 +85,9 @@ def seller_pairs(rows: DataFrame) -> DataFrame:
     return dominant(good, CONTEXT, ["seller_name", "seller_tax"], "row_id", *SELLER)
 
 
-def common_value(rows: DataFrame, field: str) -> DataFrame:
+def common_value(rows: DataFrame, field: str, least: tuple[int, float] | None = None) -> DataFrame:
     """(value, n, share) of a field if one value is common enough."""
-    return dominant(rows.where(F.col(field) != "").select("row_id", F.col(field).alias("value")), [], ["value"], "row_id", *VALUE)
+    return dominant(rows.where(F.col(field) != "").select("row_id", F.col(field).alias("value")), [], ["value"], "row_id", *(least or VALUE))
 
 
 def _fill(now: Column, needs: Column, value: Column) -> Column:
@@ -180,10 +184,10 @@ def quality_flags(rows: DataFrame) -> DataFrame:
     return t.select("row_id", F.explode(F.array_compact(F.array(*flags))).alias("f")).select("row_id", "f.field", "f.reason")
 
 
-def swapped(rows: DataFrame) -> DataFrame:
+def swapped(rows: DataFrame, least: tuple[int, float] | None = None) -> DataFrame:
     """(row_id, by_tax, by_name): the common buyer stands on the seller's side only."""
-    tax = common_value(rows, "buyer_tax").select(F.upper("value").alias("c_tax"))
-    name = common_value(rows, "buyer_name").select(F.col("value").alias("c_name"))
+    tax = common_value(rows, "buyer_tax", least).select(F.upper("value").alias("c_tax"))
+    name = common_value(rows, "buyer_name", least).select(F.col("value").alias("c_name"))
     r = rows.join(F.broadcast(tax), F.lit(True), "left").join(F.broadcast(name), F.lit(True), "left")  # at most one row each
     by_tax = (F.upper("seller_tax") == F.col("c_tax")) & (F.upper("buyer_tax") != F.col("c_tax"))
     by_name = (F.col("seller_name") == F.col("c_name")) & (F.col("buyer_name") != F.col("c_name"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,10 +114,11 @@ def parties_by_place(lines: DataFrame) -> DataFrame:
 
 
 def label_pairs_merged(lines: DataFrame) -> DataFrame:
-    """Neighbouring lines of one height whose texts together make the label "名称": (scan_id, page_no, line_idx)."""
+    """Neighbouring lines of one height whose texts together make the label "名称", merged: (scan_id, page_no, line_idx, label)."""
     w = Window.partitionBy("scan_id", "page_no").orderBy("line_idx", "line_id")
     t = lines.withColumn("next", F.lead("text").over(w)).withColumn("ny", F.lead("y").over(w))
-    return t.where((F.trim("text") == "名") & F.trim("next").startswith("称") & (F.abs(F.col("y") - F.col("ny")) < 0.05)).select("scan_id", "page_no", "line_idx")
+    pairs = t.where((F.trim("text") == "名") & F.trim("next").startswith("称") & (F.abs(F.col("y") - F.col("ny")) < 0.05))
+    return pairs.select("scan_id", "page_no", "line_idx", F.concat(F.trim("text"), F.trim("next")).alias("label"))
 
 
 def median_heights(lines: DataFrame) -> DataFrame:
@@ -125,24 +127,56 @@ def median_heights(lines: DataFrame) -> DataFrame:
         "scan_id", "page_no", F.element_at("h", (F.floor(F.size("h") / 2) + 1).cast("int")).alias("height"))
 
 
-def small_beside_large(boxes: DataFrame, keys: list[str], area: str, x: str, y: str, reach: float) -> DataFrame:
-    """Boxes without those that are under half the size of a box within reach in the same group.
+def small_beside_large(boxes: DataFrame, keys: list[str], w: str, h: str, x: str, y: str, least: float, reach: float) -> DataFrame:
+    """Boxes of a group without the small ones near a large one.
 
-    Each box meets those of its own and the eight cells around, so a full group isn't compared all with all.
+    A box is large if both its sides reach ``least``; a small one is left out if its centre is within
+    ``reach`` of a large one's centre on both axes. Groups without large boxes stay whole, and so does
+    one of which nothing else would stay (large boxes always do). Only large boxes meet small ones, in
+    the cells around them, so a full group isn't compared all with all. A box without a place or size
+    is neither large nor near.
     """
-    cell = lambda c: F.floor(F.col(c) / (reach * 1.001))  # noqa: E731  # a little wider than reach, so rounding skips no cell
-    around = lambda c: F.explode(F.array(*(cell(c) + off for off in (-1, 0, 1))))
-    small = boxes.withColumn("_cx", cell(x)).withColumn("_cy", cell(y))
-    big = boxes.select(*keys, F.col(area).alias("b_area"), F.col(x).alias("bx"), F.col(y).alias("by"))
-    big = big.withColumn("_cx", around("bx")).withColumn("_cy", around("by"))
-    near = [small[k] == big[k] for k in [*keys, "_cx", "_cy"]] + [F.abs(F.col(x) - F.col("bx")) < reach, F.abs(F.col(y) - F.col("by")) < reach, F.col(area) * 2 < F.col("b_area")]
-    cond = near[0]
-    for n in near[1:]:
-        cond &= n
-    return small.join(big, cond, "left_anti").drop("_cx", "_cy")
+    cell = lambda c: F.floor(c / (reach * 1.001))  # noqa: E731  # a little wider than reach, so rounding skips no cell
+    around = lambda c: F.explode(F.array(*(cell(F.col(c)) + off for off in (-1, 0, 1))))
+    b = boxes.withColumn("_cx", F.col(x) + F.col(w) / 2).withColumn("_cy", F.col(y) + F.col(h) / 2)
+    large = F.coalesce((F.col(w) >= least) & (F.col(h) >= least), F.lit(False))
+    big = b.where(large).select(*keys, F.col("_cx").alias("_bx"), F.col("_cy").alias("_by")).distinct()
+    big = big.withColumn("_gx", around("_bx")).withColumn("_gy", around("_by"))
+    small = b.where(~large).withColumn("_gx", cell(F.col("_cx"))).withColumn("_gy", cell(F.col("_cy")))
+    cond = (F.abs(small["_cx"] - big["_bx"]) < reach) & (F.abs(small["_cy"] - big["_by"]) < reach)
+    for k in [*keys, "_gx", "_gy"]:
+        cond &= small[k] == big[k]
+    kept = small.join(big, cond, "left_anti").drop("_gx", "_gy")
+    return b.where(large).unionByName(kept).drop("_cx", "_cy")
 
 
 def confidence(words: DataFrame, keys: list[str], conf: str = "conf") -> DataFrame:
     """(keys, mean_conf, low_ratio): over words with a confidence that is not negative; 0 if none."""
     good = F.when(F.col(conf) >= 0, F.col(conf))
     return words.groupBy(*keys).agg(F.coalesce(F.avg(good), F.lit(0.0)).alias("mean_conf"), F.coalesce(F.avg((good < LOW_CONFIDENCE).cast("double")), F.lit(0.0)).alias("low_ratio"))
+
+
+def spread_boxes(boxes: list, most: int, overlap: float = 0.42) -> list:
+    """Ids of the heaviest boxes in order that don't lie on a heavier one: their middles are near on both axes."""
+    kept: list = []
+    for b in sorted(boxes, key=lambda b: (-b["weight"], b["id"])):
+        cx, cy = b["x"] + b["width"] / 2, b["y"] + b["height"] / 2
+        if not any(abs(cx - k[0]) < min(b["width"], k[2]) * overlap and abs(cy - k[1]) < min(b["height"], k[3]) * overlap for k in kept):
+            kept.append((cx, cy, b["width"], b["height"], b["id"]))
+            if len(kept) == most:
+                break
+    return [k[4] for k in kept]
+
+
+def largest_boxes(boxes: DataFrame, keys: list[str], id_: str, most: int) -> DataFrame:
+    """(keys, id, place): the heaviest boxes of each page, those on a heavier one left out; ties by id.
+
+    Each step depends on what was kept before, so a page is one fold; pages are the largest groups.
+    """
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda p: spread_boxes(list(p), most))
+
+    run.__annotations__ = {"pages": pd.Series, "return": pd.Series}
+    packed = boxes.groupBy(*keys).agg(F.collect_list(F.struct(F.col(id_).alias("id"), "x", "y", "width", "height", "weight")).alias("_b"))
+    kind = dict(boxes.dtypes)[id_]
+    return packed.select(*keys, F.posexplode(F.pandas_udf(run, f"array<{kind}>")("_b")).alias("_p", id_)).select(*keys, id_, (F.col("_p") + 1).alias("place"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packed", "traffic", "invoices", "pages", "streams", "extraction")
+MODULES = ("packed", "traffic", "invoices", "pages", "blocks", "streams", "files", "extraction")
 
 
 def registry() -> tuple[dict, dict]:

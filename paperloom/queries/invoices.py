@@ -12,6 +12,13 @@ from paperloom.plans import invoices as p
 from paperloom.runtime import table
 
 
+#: Least records and share that make a buyer common: here a buyer of a fiftieth of all records.
+COMMON_BUYER = (3, 0.02)
+#: Columns of records that a report may show.
+REPORTED = ("original_name", "buyer_name", "buyer_tax", "seller_name", "seller_tax", "invoice_date", "pretax_amount", "tax_amount", "total_amount", "tax_rate", "invoice_type", "invoice_no",
+            "category", "line_items", "archived_path", "status", "station")
+
+
 def _r(spark, d):
     return table(spark, d, "invoice_records")
 
@@ -43,7 +50,8 @@ def checksum_codes(spark, d):
 
 
 def names_cleaned(spark, d):
-    return _r(spark, d).select(F.col("seller_name").alias("name")).distinct().select("name", clean_name(F.col("name")).alias("cleaned"), suspicious(F.col("name")).alias("suspicious"))
+    names = _r(spark, d).select(F.col("seller_name").alias("name")).unionByName(_r(spark, d).select(F.col("buyer_name").alias("name"))).distinct()
+    return names.select("name", clean_name(F.col("name")).alias("cleaned"), suspicious(F.col("name")).alias("suspicious"))
 
 
 def repeats_by_fields(spark, d):
@@ -72,11 +80,19 @@ def vote_unanimous(spark, d):
 
 
 def vote_mapping(spark, d):
-    return p.mapping(_plain(spark, d), "seller_name", "seller_tax")
+    """Codes of names on both sides, and names of codes."""
+    ways = [(f"{s}_{a}", f"{s}_{b}") for s in ("buyer", "seller") for a, b in (("name", "tax"), ("tax", "name"))]
+    out = None
+    for source, target in ways:
+        one = p.mapping(_plain(spark, d), source, target).withColumn("way", F.lit(f"{source}>{target}"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def vote_global_pair(spark, d):
-    return p.dominant(_plain(spark, d).where("invoice_type <> ''"), [], ["invoice_type"], "row_id", 3, 0.1)
+    """The most frequent sound buyer pair of all records, and whether it is frequent enough to fill others."""
+    top = p.dominant(p.sound_buyers(_plain(spark, d)), [], ["buyer_name", "buyer_tax"], "row_id", 0, 0.0)
+    return top.withColumn("fills", (F.col("n") >= p.BUYER[0]) & (F.col("share") >= p.BUYER[1]))
 
 
 def vote_context_pair(spark, d):
@@ -107,7 +123,8 @@ def quality_status(spark, d):
 
 
 def parties_swapped(spark, d):
-    return p.swapped(_plain(spark, d))
+    """Records with a buyer of many records on the seller's side; the most frequent tenth-of-records parties count."""
+    return p.swapped(_plain(spark, d), COMMON_BUYER)
 
 
 def archive_plan(spark, d):
@@ -123,7 +140,7 @@ def report_rows(spark, d):
 
 
 def report_widths(spark, d):
-    return p.widths(_r(spark, d), ("buyer_name", "seller_name", "invoice_no", "category", "line_items"))
+    return p.widths(_r(spark, d), REPORTED)
 
 
 def reasons_long(spark, d):
@@ -137,12 +154,11 @@ def scans_of_invoices(spark, d):
 
 
 def records_by_number_in_name(spark, d):
-    """Records found by the first run of eight or more digits in a scanned file's name."""
-    files = table(spark, d, "scan_files").select("scan_id", F.regexp_extract("file_name", r"(\d{8,})(?:\D|$)", 1).alias("token"), F.regexp_extract("file_name", r"_(\d+)\.", 1).alias("number"))
-    r = _r(spark, d).select(F.col("row_id").alias("found"), F.lower("original_name").alias("original_name"))
-    names = r.select("found", F.regexp_extract("original_name", r"_(\d+)\.", 1).alias("number"))
-    first = names.where("number <> ''").groupBy("number").agg(F.min("found").alias("found"))
-    return files.where("number <> ''").join(first, "number", "left").select("scan_id", "token", "found")
+    """Records whose number is a part of eight or more digits of an archived file's name: the first file by path."""
+    files = p.archive_plan(_r(spark, d)).select(F.concat_ws("/", "folder", "name").alias("path"), F.regexp_replace("name", r"\.[^.]+$", "").alias("stem"))
+    parts = files.select("path", F.explode(F.split("stem", "[_\\- ]")).alias("token")).where(F.col("token").rlike(r"^\d{8,}$"))
+    first = parts.groupBy(F.lower("token").alias("token")).agg(F.min("path").alias("path"))
+    return _r(spark, d).select("row_id", F.col("invoice_no").alias("token")).join(first, "token").select("row_id", "token", "path")
 
 
 def invoice_view(spark, d):
@@ -299,7 +315,7 @@ ORACLE = {
     "invoice_rate_inferred": f"""WITH {_TYPED}, near AS (SELECT row_id, pretax, (SELECT min((abs(tax / pretax * 100 - r), r)) FROM (VALUES (1.0),(3.0),(6.0),(9.0),(13.0)) v(r)) AS b FROM typed)
       SELECT row_id, CASE WHEN pretax > 0 AND b[1] <= 0.6 THEN CAST(b[2] AS DOUBLE) END AS rate FROM near""",
     "checksum_codes": f"SELECT code, {_valid('code')} AS ok FROM (SELECT buyer_tax AS code FROM invoice_records UNION SELECT seller_tax FROM invoice_records) WHERE code IS NOT NULL",
-    "names_cleaned": rf"""WITH w AS (SELECT DISTINCT seller_name AS name FROM invoice_records),
+    "names_cleaned": rf"""WITH w AS (SELECT seller_name AS name FROM invoice_records UNION SELECT buyer_name FROM invoice_records),
       a AS (SELECT name, regexp_replace(regexp_replace(coalesce(name, ''), '[\s\pZ]+', '', 'g'), '{FRONT_LABEL}', '') AS t FROM w),
       b AS (SELECT name, t, regexp_extract(t, '^[一-龥]{{1,3}}[：:]+(.+)$', 1) AS rest FROM a),
       c AS (SELECT name, CASE WHEN rest <> '' AND regexp_matches(rest, '{NAME_ENDS}') THEN rest ELSE t END AS t FROM b),
@@ -313,16 +329,20 @@ ORACLE = {
     "pending_records": "SELECT row_id, CAST(len(fields_needing_review) AS INT) AS n_fields FROM invoice_records WHERE len(fields_needing_review) > 0",
     "vote_unanimous": f"""WITH {_PLAIN}, k AS (SELECT *, {_FIELD_KEY} AS key FROM plain) SELECT key, """ + ", ".join(
         f"CASE WHEN min(nullif({c}, '')) = max(nullif({c}, '')) THEN max(nullif({c}, '')) END AS {c}" for c in ("seller_tax", "tax_rate", "pretax_amount")) + " FROM k WHERE key IS NOT NULL GROUP BY key",
-    "vote_mapping": _vote(_PLAIN, "SELECT row_id, seller_name AS source, seller_tax AS target FROM plain WHERE seller_name <> '' AND seller_tax <> ''", ["source"], ["target"], "row_id", 2, 0.8, True),
-    "vote_global_pair": _vote(_PLAIN, "SELECT row_id, invoice_type FROM plain WHERE invoice_type <> ''", [], ["invoice_type"], "row_id", 3, 0.1),
+    "vote_mapping": " UNION ALL ".join("SELECT *, '" + f"{a}>{b}" + "' AS way FROM (" + _vote(
+        _PLAIN, f"SELECT row_id, {a} AS source, {b} AS target FROM plain WHERE {a} <> '' AND {b} <> ''", ["source"], ["target"], "row_id", 2, 0.8, True) + ")"
+        for a, b in (("buyer_name", "buyer_tax"), ("buyer_tax", "buyer_name"), ("seller_name", "seller_tax"), ("seller_tax", "seller_name"))),
+    "vote_global_pair": "SELECT *, n >= 3 AND share >= 0.5::DOUBLE AS fills FROM (" + _vote(
+        _PLAIN, f"SELECT row_id, buyer_name, upper(buyer_tax) AS buyer_tax FROM plain WHERE buyer_name <> '' AND NOT {_suspicious('buyer_name')} AND (upper(buyer_tax) = '个人无税号' OR {_valid('buyer_tax')})",
+        [], ["buyer_name", "buyer_tax"], "row_id", 0, 0.0) + ")",
     "vote_context_pair": _vote(_PLAIN, _SELLERS, ["ctx_buyer", "invoice_type", "tax_rate"], ["seller_name", "seller_tax"], "row_id", 3, 0.85),
     "vote_value": _vote(_PLAIN, "SELECT row_id, tax_rate AS value FROM plain WHERE tax_rate <> ''", [], ["value"], "row_id", 3, 0.35),
     "nation_of_customers": _vote("c AS (SELECT n_name, c_mktsegment, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey)", "SELECT * FROM c", ["n_name"], ["c_mktsegment"], "c_custkey", 2, 0.0),
     "records_completed": _completed(),
     "quality_flags": f"WITH {_TYPED} {_FLAGS}",
     "quality_status": f"WITH {_TYPED}, f AS ({_FLAGS}) SELECT r.row_id, count(f.field) AS n_flags FROM invoice_records r LEFT JOIN f ON f.row_id = r.row_id GROUP BY r.row_id",
-    "parties_swapped": f"""WITH {_PLAIN}, ct AS (SELECT upper(value) AS v FROM ({_vote('x AS (SELECT 1)', "SELECT row_id, buyer_tax AS value FROM plain WHERE buyer_tax <> ''", [], ['value'], 'row_id', 3, 0.35)})),
-      cn AS (SELECT value AS v FROM ({_vote('x AS (SELECT 1)', "SELECT row_id, buyer_name AS value FROM plain WHERE buyer_name <> ''", [], ['value'], 'row_id', 3, 0.35)})),
+    "parties_swapped": f"""WITH {_PLAIN}, ct AS (SELECT upper(value) AS v FROM ({_vote('x AS (SELECT 1)', "SELECT row_id, buyer_tax AS value FROM plain WHERE buyer_tax <> ''", [], ['value'], 'row_id', 3, 0.02)})),
+      cn AS (SELECT value AS v FROM ({_vote('x AS (SELECT 1)', "SELECT row_id, buyer_name AS value FROM plain WHERE buyer_name <> ''", [], ['value'], 'row_id', 3, 0.02)})),
       s AS (SELECT row_id, coalesce(upper(seller_tax) = (SELECT v FROM ct) AND upper(buyer_tax) <> (SELECT v FROM ct), false) AS by_tax,
         coalesce(seller_name = (SELECT v FROM cn) AND buyer_name <> (SELECT v FROM cn), false) AS by_name FROM plain) SELECT * FROM s WHERE by_tax OR by_name""",
     "archive_plan": f"WITH {_ARCHIVE} SELECT * FROM plan",
@@ -332,11 +352,11 @@ ORACLE = {
       {_scrub('category')} AS category, {_scrub('seller_name')} AS seller_name, {_scrub('total_amount')} AS total_amount, {_scrub('status')} AS status,
       regexp_extract(coalesce(archived_path, ''), '([^/]*)$', 1) AS archived_name, coalesce({_REPORT_REASONS}, '') AS review_summary FROM invoice_records
       UNION ALL SELECT 1, '合  计（共 ' || count(*) || ' 张）', '', '', '', format('{{:,.2f}}', round(sum(CASE WHEN regexp_matches(trim(replace(coalesce(total_amount, ''), ',', '')), '{money.NUMBER}') THEN CAST(trim(replace(total_amount, ',', '')) AS DOUBLE) END), 2)), '', '', '' FROM invoice_records""",
-    "report_widths": " UNION ALL ".join(_width(c) for c in ("buyer_name", "seller_name", "invoice_no", "category", "line_items")),
+    "report_widths": " UNION ALL ".join(_width(c) for c in REPORTED),
     "reasons_long": "SELECT row_id, e.key AS field, CAST(i - 1 AS INT) AS seq, e.value[i] AS reason FROM (SELECT row_id, unnest(map_entries(review_reasons)) AS e FROM invoice_records) t, LATERAL (SELECT unnest(range(1, len(e.value) + 1)) AS i)",
     "scans_of_invoices": "SELECT s.scan_id IS NOT NULL AS has_scan, r.station IS NOT NULL AS has_record, count(*) AS n FROM scan_files s FULL JOIN invoice_records r ON s.row_id = r.row_id GROUP BY ALL",
-    "records_by_number_in_name": r"""WITH n AS (SELECT regexp_extract(lower(original_name), '_(\d+)\.', 1) AS number, min(row_id) AS found FROM invoice_records GROUP BY 1)
-      SELECT scan_id, regexp_extract(file_name, '(\d{8,})(?:\D|$)', 1) AS token, n.found FROM scan_files LEFT JOIN n ON n.number = regexp_extract(file_name, '_(\d+)\.', 1) WHERE regexp_extract(file_name, '_(\d+)\.', 1) <> ''""",
+    "records_by_number_in_name": rf"""WITH {_ARCHIVE}, t AS (SELECT folder || '/' || name AS path, unnest(string_split_regex(regexp_replace(name, '\.[^.]+$', ''), '[_\- ]')) AS token FROM plan),
+      f AS (SELECT token, min(path) AS path FROM t WHERE regexp_matches(token, '^\d{{8,}}$') GROUP BY token) SELECT r.row_id, token, path FROM invoice_records r JOIN f ON r.invoice_no = token""",
     "invoice_view": """SELECT s_name AS seller_name, c_mktsegment AS segment, strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n_lines,
       CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(12,2)))) AS DOUBLE) AS pretax,
       CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(12,2))) * CAST(l_tax AS DECIMAL(12,2))) AS DOUBLE) AS tax

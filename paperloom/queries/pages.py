@@ -2,26 +2,25 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from paperloom.functions import score, text as tx
+from paperloom.functions.misc import alignment
 from paperloom.operators import chunks, numbering, tables
 from paperloom.plans import evaluation as ev
 from paperloom.plans import layout as lo
 from paperloom.runtime import cut, table
 
 # Tables in markup and pages to name, for operators whose input no table holds.
-HTML = (
-    (1, '<table><tr><td rowspan="2">A</td><td>B</td></tr><tr><td>C</td></tr></table>'),
-    (2, '<table><tr><th colspan="2">head</th><th>x</th></tr><tr><td>1</td><td>2</td><td>3</td></tr></table>'),
-    (3, "<TABLE><TR><TD> a b </TD></TR><TR></TR><TR><TD>c</TD><TD rowspan=3>d</TD></TR></TABLE>"),
-    (4, "no table"), (5, ""), (6, None),
-)
-SPECS = (("1,3，7-5, 12", 10), ("0,99", 10), ("", 10), ("2-4,3-6", 5), ("x", 3), (" 5 - 5 ,1", 9), (None, 4))
-WORDS = (("a", 1, 1, 90.0), ("b", 1, 1, 70.0), ("", 1, 1, -1.0), ("c", 1, 2, 80.0), ("d", 2, 1, -1.0), ("e", 3, 1, 74.9), ("f", 3, 1, 75.0))
 NEAR = (("kitten", "sitting"), ("", ""), ("abc", ""), ("flaw", "lawn"), ("same text here", "same text here"))
 
 
+#: Most names looked for at once.
+MOST_NAMES = 10_000
+
+
 def _lines(spark, d):
     return table(spark, d, "ocr_lines")
 
@@ -30,10 +29,6 @@ def _docs(spark, d):
     return table(spark, d, "documents")
 
 
-def _html(spark, rows=HTML):
-    return spark.createDataFrame(rows, "t int, html string")
-
-
 def doc_text_quality(spark, d):
     return _docs(spark, d).select("doc_id", F.round(tx.quality(F.col("text")), 6).alias("quality"), F.round(tx.han_share(F.col("text")), 6).alias("han_share"))
 
@@ -55,7 +50,9 @@ def page_metrics(spark, d):
 
 
 def page_marks(spark, d):
-    return lo.repeated_marks(lo.blocks(_lines(spark, d)))
+    """Short lines that return in the texts of a source, each source as one document."""
+    lines = _docs(spark, d).where("source IS NOT NULL").select(F.col("source").alias("scan_id"), F.explode(F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n")).alias("text"))
+    return lo.repeated_marks(lines.withColumn("label", F.lit("para")).withColumn("clean", tx.cleaned(F.col("text"))))
 
 
 def page_dropped(spark, d):
@@ -81,21 +78,12 @@ def pipe_column_shares(spark, d):
     return s.select("doc_id", "col_no", F.round("share", 6).alias("share"))
 
 
-def html_cells(spark, d):
-    return tables.html_cells(_html(spark), "t")
-
-
-def html_grid(spark, d):
-    return tables.html_grid(_html(spark), "t")
-
-
-def html_round_trip(spark, d):
-    return _html(spark).select("t", tables.to_html(tables.html_rows(F.col("html"))).alias("markup"))
-
-
 def page_spec(spark, d):
-    specs = spark.createDataFrame(SPECS, "spec string, total int")
-    return specs.select("spec", "total", tx.page_numbers(F.col("spec"), F.col("total")).alias("pages"))
+    """A specification of pages for each scanned file, read back within its pages."""
+    n = lambda k: (F.pmod("scan_id", F.lit(k)) + 1).cast("string")
+    spec = F.when(F.pmod("scan_id", F.lit(11)) == 0, "x").otherwise(F.concat(n(3), F.lit(",，"), n(9), F.lit(" - "), n(4), F.lit(", "), n(13)))
+    files = table(spark, d, "scan_files").select("scan_id", spec.alias("spec"), F.coalesce("page_count", F.lit(12)).cast("int").alias("total"))
+    return files.select("scan_id", tx.page_numbers(F.col("spec"), F.col("total")).alias("pages"))
 
 
 def line_clusters(spark, d):
@@ -142,32 +130,58 @@ def parties_by_place(spark, d):
 
 
 def labels_in_two_lines(spark, d):
-    return lo.label_pairs_merged(_lines(spark, d))
+    """Labels of scans broken after their first sign, found again as pairs of lines."""
+    l = _lines(spark, d).where(F.col("text").startswith("名称")).select("scan_id", "page_no", "line_idx", "line_id", "y", "text")
+    first = l.select("scan_id", "page_no", (F.col("line_idx") * 2).alias("line_idx"), "line_id", "y", F.lit("名").alias("text"))
+    rest = l.select("scan_id", "page_no", (F.col("line_idx") * 2 + 1).alias("line_idx"), "line_id", (F.col("y") + 0.001).alias("y"), F.substr("text", F.lit(2)).alias("text"))
+    return lo.label_pairs_merged(first.unionByName(rest))
 
 
-def small_beside_large(spark, d):
-    boxes = _lines(spark, d).where("page_no = 1 AND width IS NOT NULL").select("line_id", "scan_id", "x", "y", (F.col("width") * F.col("height")).alias("area"))
-    return lo.small_beside_large(boxes, ["scan_id"], "area", "x", "y", 0.05).select("line_id")
+#: Least side of a large box and reach of it, as shares of the page.
+LARGE_SIDE, REACH = 0.02, 0.3
 
 
-def small_beside_large_pages(spark, d):
-    """The lines of every page; ``small_beside_large`` has first pages only, as its SQL."""
-    boxes = _lines(spark, d).where("width IS NOT NULL").select("line_id", "scan_id", "page_no", "x", "y", (F.col("width") * F.col("height")).alias("area"))
-    return lo.small_beside_large(boxes, ["scan_id", "page_no"], "area", "x", "y", 0.05).select("line_id")
+def small_beside_large(spark, d):
+    """Lines of every page without the flat ones whose centre is near a higher one's."""
+    return lo.small_beside_large(_lines(spark, d), ["scan_id", "page_no"], "width", "height", "x", "y", LARGE_SIDE, REACH).select("line_id")
 
 
 def route_check(spark, d):
     return lo.route_check(table(spark, d, "scan_files"))
 
 
+def _words(spark, d):
+    """Words of lines with a stand-in for a reader's confidence: from the line's place and length, -1 if blank."""
+    words = _lines(spark, d).where("text IS NOT NULL").select("scan_id", "page_no", "line_id", F.explode(F.split("text", " ")).alias("word"))
+    conf = F.when(F.col("word") == "", -1.0).otherwise(F.pmod(F.col("line_id") * 7 + F.length("word") * 13, F.lit(60)) + 40.0)
+    return words.withColumn("conf", conf)
+
+
 def word_confidence(spark, d):
-    words = spark.createDataFrame(WORDS, "word string, page int, line int, conf double").where("word <> ''")
-    return lo.confidence(words, ["page"])
+    c = lo.confidence(_words(spark, d), ["scan_id", "page_no"])
+    return c.select("scan_id", "page_no", F.round("mean_conf", 6).alias("mean_conf"), F.round("low_ratio", 6).alias("low_ratio"))
 
 
 def document_confidence(spark, d):
-    pages = word_confidence(spark, d)
-    return pages.agg(F.avg("mean_conf").alias("doc_conf"))
+    pages = lo.confidence(_words(spark, d), ["scan_id", "page_no"])
+    return pages.groupBy("scan_id").agg(F.round(F.avg("mean_conf"), 6).alias("doc_conf"))
+
+
+def words_boxed(spark, d):
+    """Largest boxes of each page that don't lie on a larger one, six at most."""
+    l = _lines(spark, d).where("x IS NOT NULL AND y IS NOT NULL AND width IS NOT NULL AND height IS NOT NULL")
+    l = l.withColumn("weight", F.round(F.col("width") * F.col("height"), 9))
+    return lo.largest_boxes(l, ["scan_id", "page_no"], "line_id", 6)
+
+
+def layout_likeness(spark, d):
+    """Each page against the next one of its scan: paragraphs, alignment, length of text."""
+    far = F.col("x") + F.col("width")
+    l = _lines(spark, d).where("text IS NOT NULL").withColumn("align", alignment(F.col("x"), far, F.lit(1.0), F.col("text")))
+    f = l.groupBy("scan_id", "page_no").agg(
+        F.count(F.lit(1)).alias("paragraphs"), F.sum(F.length("text")).alias("text_len"), *(F.count_if(F.col("align") == a).alias(a) for a in ("left", "center", "right")))
+    other = f.select("scan_id", (F.col("page_no") - 1).alias("page_no"), *(F.col(c).alias(f"o_{c}") for c in ("paragraphs", "text_len", "left", "center", "right")))
+    return f.join(other, ["scan_id", "page_no"]).select("scan_id", "page_no", F.round(score.layout_similarity("", "o_"), 6).alias("likeness"))
 
 
 def edit_scores(spark, d):
@@ -188,12 +202,6 @@ def edit_windows(spark, d):
     return lines.join(scans, "scan_id").select("line_id", score.best_window_score(F.col("seller_name"), F.col("text")).alias("window_score"))
 
 
-def table_scores(spark, d):
-    pairs = (("<table><tr><td>a</td><td>b</td></tr><tr><td>1</td><td>2</td></tr></table>", "<table><tr><td>a</td><td>b</td></tr><tr><td>1</td><td>3</td></tr></table>"), ("", ""), ("<table><tr><td>a</td></tr></table>", ""))
-    df = spark.createDataFrame(pairs, "a string, b string")
-    return df.select("a", "b", score.table_score(tables.html_rows(F.col("a")), tables.html_rows(F.col("b"))).alias("score"))
-
-
 def text_likeness(spark, d):
     """Each document's whole text against that of the next document of its source, by bigrams; the last of a source has none."""
     docs = _docs(spark, d).where(F.length("text") > 0)
@@ -205,28 +213,6 @@ def text_likeness(spark, d):
     return both.select("doc_id", "next_id", F.round(score.text_similarity(F.col("text"), F.col("next_text")), 6).alias("likeness"))
 
 
-def _scored(spark, d):
-    """Blocks of pages scored: how much of each line its cleaned form keeps."""
-    b = lo.blocks(_lines(spark, d)).where("text IS NOT NULL")
-    kind = F.when(F.col("label") == "table", "table").otherwise("text")
-    s = F.when(F.length("text") == 0, 100.0).otherwise(F.length("clean") * 100.0 / F.length("text"))
-    return b.select(F.concat_ws("|", "scan_id", "page_no").alias("page"), F.col("line_id").alias("block"), kind.alias("kind"), s.alias("score"))
-
-
-def eval_pages(spark, d):
-    r = ev.page_report(_scored(spark, d))
-    return r.select("page", F.round("text_avg", 4).alias("text_avg"), F.round("table_avg", 4).alias("table_avg"))
-
-
-def eval_overall(spark, d):
-    r = ev.overall(_scored(spark, d))
-    return r.select("text_blocks", "table_blocks", *(F.round(c, 4).alias(c) for c in ("text_avg", "table_avg", "overall")))
-
-
-def eval_worst(spark, d):
-    return ev.worst(_scored(spark, d)).select("page", "block", F.round("score", 4).alias("score"))
-
-
 def check_tally(spark, d):
     return ev.tally(table(spark, d, "scan_files").select(F.when(F.col("page_count").isNotNull(), F.col("has_text_layer")).alias("ok")))
 
@@ -257,34 +243,53 @@ def best_table_match(spark, d):
 
 
 def words_in_documents(spark, d):
-    """Documents that name a category of the list, by left semi join on its words; the others by left anti join."""
-    names = table(spark, d, "category_ref").select("name")
-    docs = _docs(spark, d).where("text IS NOT NULL").select("doc_id", "text")
-    named = docs.join(F.broadcast(names), F.col("text").contains(F.col("name")), "left_semi").select("doc_id", F.lit(True).alias("names_one"))
-    rest = docs.join(F.broadcast(names), F.col("text").contains(F.col("name")), "left_anti").select("doc_id", F.lit(False).alias("names_one"))
-    return named.unionByName(rest)
+    """Whether a document names a category of the list: one pass with all names, whose number is checked."""
+    names = [r["name"] for r in table(spark, d, "category_ref").where("name <> ''").select("name").limit(MOST_NAMES + 1).collect()]
+    if len(names) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} names to look for")
+    pattern = "|".join(re.escape(n) for n in names) or "(?!)"
+    return _docs(spark, d).where("text IS NOT NULL").select("doc_id", F.col("text").rlike(pattern).alias("names_one"))
+
+
+def scans_by_record(spark, d):
+    """Scans of records that are there by left semi join, those of none by left anti join."""
+    s, r = table(spark, d, "scan_files").select("scan_id", "row_id"), table(spark, d, "invoice_records").where("status IS NOT NULL").select("row_id")
+    return s.join(r, "row_id", "left_semi").select("scan_id", F.lit(True).alias("has_record")).unionByName(s.join(r, "row_id", "left_anti").select("scan_id", F.lit(False).alias("has_record")))
+
+
+_W = r"[\s\pZ\x0b\x{85}]"
+_SP = _W + "+"
+# Fixed values, written out here again so that a slip in the functions shows: pieces of watermarks, misreadings.
+_PIECES = ("德厚生臻子至美W*", "德厚生W*", "正德厚生?W*", "正臻子W*", "名厚生W*", '正德厚生臻子不?"?W*', "臻子至善", "李于至善", "生臻子至善", "于至善[。.]?W*", '哪生臻子不"?W*', "臻予玉W*", "臻、W*")
+_MISREAD = (
+    ("56生态", "5G生态"), ("勤察", "勘察"), ("粉察", "勘察"), ("勒茶", "勘察"), ("限眼同的求", "按照"), ("甲防", "甲方"), ("平方", "甲方"), ("上渣", "上海"), ("勤装", "勘察"),
+    ("黑章", "盖章"), ("舍:W*公", "："), ("授校", "授权"), ("仅器", "仪器"), ("寄注", "备注"), ("个同专用章", "合同专用章"), ("[1I]硬件", "IT硬件"), (r"SU[\\／/]系统", "SDN系统"), ("报客户机", "瘦客户机"))
+
+
+def _cleaned(c: str) -> str:
+    """The cleaning of a one-line text as nested SQL."""
+    ends = f"^{_SP}|{_SP}$"
+    out = f"regexp_replace(regexp_replace(replace(coalesce({c}, ''), '　', ' '), '{ends}', '', 'g'), '^#{{1,6}}{_SP}', '')"
+    for p in _PIECES:
+        out = f"regexp_replace({out}, '{p.replace('W', _W)}', '', 'g')"
+    for p, by in _MISREAD:
+        out = f"regexp_replace({out}, '{p.replace('W', _W)}', '{by}', 'g')"
+    return f"regexp_replace(regexp_replace({out}, '{_SP}', ' ', 'g'), '{ends}', '', 'g')"
 
 
-_SP = r"[\s\pZ]+"
-_CLEAN = "trim(replace(coalesce(text, ''), '　', ' '))"
-_CLEAN = rf"regexp_replace({_CLEAN}, '^#{{1,6}}\s+', '')"
-for _m in tx.MARKS:
-    _CLEAN = rf"regexp_replace({_CLEAN}, '{_m}\s*', '', 'g')"
-_CLEAN = rf"trim(regexp_replace({_CLEAN}, '\s+', ' ', 'g'), ' ')"
-_CLEAN = _CLEAN.replace("trim(replace(coalesce(text, ''), '　', ' '))", "trim(replace(coalesce(text, ''), '　', ' '), ' ')")
+_CLEAN = _cleaned("text")
 
 
 def _quality(t: str) -> str:
     s = f"regexp_replace(trim({t}, ' '), '{_SP}', '', 'g')"
-    pen = " + ".join(f"CASE WHEN contains({t}, '{w}') THEN 0.18 ELSE 0 END" for w in tx.MARK_PIECES)
+    pen = " + ".join(f"CASE WHEN contains({t}, '{w}') THEN 0.18 ELSE 0 END" for w in ("臻子", "至善", "厚生", "德厚", "李于", "正德", "哪生", "名厚"))
     return f"""CASE WHEN length({s}) = 0 THEN 1.0 ELSE greatest(0.0, least(1.0, (length(regexp_replace({s}, '[^一-鿿]', '', 'g')) + length(regexp_replace({s}, '[^A-Za-z0-9]', '', 'g')) * 0.85::DOUBLE) / length({s})
       - ({pen} + CASE WHEN regexp_matches({t}, '[女熊端足文]{{3,}}') THEN 0.35 ELSE 0 END + CASE WHEN length({s}) <= 3 AND NOT regexp_matches({s}, '[0-9]') THEN 0.25 ELSE 0 END)::DOUBLE)) END"""
 
 
 def _noise(c: str) -> str:
-    kept = ", ".join(f"'{k}'" for k in tx.KEPT_SHORT)
-    return f"""CASE WHEN {c} = '' THEN true WHEN length({c}) <= 2 AND NOT regexp_matches({c}, '[0-9]') THEN {c} NOT IN ({kept})
-      WHEN {_quality(c)} < 0.28 THEN true ELSE length({c}) <= 6 AND NOT regexp_matches({c}, '[，。；：、（）()0-9]') AND regexp_matches({c}, '{"|".join(tx.MARK_HINTS)}') END"""
+    return f"""CASE WHEN {c} = '' THEN true WHEN length({c}) <= 2 AND NOT regexp_matches({c}, '[0-9]') THEN {c} NOT IN ('分值', '备注', '序号', '日期', '姓名')
+      WHEN {_quality(c)} < 0.28 THEN true ELSE length({c}) <= 6 AND NOT regexp_matches({c}, '[，。；：、（）()0-9]') AND regexp_matches({c}, '臻|至善|厚生|德厚') END"""
 
 
 _BLOCKS = rf"""b AS (SELECT *, {_CLEAN} AS clean, CASE WHEN y >= 0.95 THEN 'header' WHEN y <= 0.045 THEN 'foot'
@@ -298,23 +303,23 @@ _PIPES = rf"""WITH l AS ({_DLINES}), f AS (SELECT doc_id, n, trim(line, ' ') AS
   k AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY run) - 1 AS table_no FROM j WHERE n_rows >= 2),
   cells AS (SELECT doc_id, CAST(table_no AS INT) AS table_no, CAST(row_no AS INT) AS row_no, CASE WHEN any_ruled THEN ruled ELSE row_no = 0 END AS is_header, CAST(c AS INT) AS col_no, coalesce(cells[c + 1], '') AS cell
     FROM k, LATERAL (SELECT unnest(range(0, n_cols)) AS c))"""
-_SCORED = f"""WITH {_BLOCKS}, scored AS (SELECT scan_id || '|' || page_no AS page, line_id AS block, CASE WHEN label = 'table' THEN 'table' ELSE 'text' END AS kind,
-  CASE WHEN length(text) = 0 THEN 100.0 ELSE length(clean) * 100.0::DOUBLE / length(text) END AS score FROM b WHERE text IS NOT NULL)"""
 _place = lambda v, side: f"arg_min(CASE WHEN band AND {side} AND {v} IS NOT NULL THEN {v} END, CASE WHEN band AND {side} AND {v} IS NOT NULL THEN o END)"
 _q = lambda s: "NULL" if s is None else "'" + s.replace("'", "''") + "'"
+_CONF = """WITH w AS (SELECT scan_id, page_no, line_id, unnest(string_split(text, ' ')) AS word FROM ocr_lines WHERE text IS NOT NULL), c AS (SELECT *, CASE WHEN word = '' THEN -1.0 ELSE (line_id * 7 + length(word) * 13) % 60 + 40.0 END AS conf FROM w),
+  p AS (SELECT scan_id, page_no, coalesce(avg(CAST(conf AS DOUBLE)) FILTER (conf >= 0), 0.0) AS m, coalesce(avg(CAST(conf < 75 AS INT)::DOUBLE) FILTER (conf >= 0), 0.0) AS low FROM c GROUP BY ALL)"""
 _amt = r"CAST(replace(nullif(regexp_extract(text, '[¥￥]?\s*(-?\d[\d,]*\.\d{2})', 1), ''), ',', '') AS DOUBLE)"
 QUERIES = {f.__name__: f for f in (
     doc_text_quality, line_cleaned, line_noise, doc_usable, page_metrics, page_marks, page_dropped, page_median_heights, doc_repeated_lines,
-    doc_pipe_tables, pipe_column_shares, html_cells, html_grid, html_round_trip, page_spec, line_clusters, word_columns, doc_sections, continued_lines,
-    label_runs, nearest_amount, nearest_label, parties_by_place, labels_in_two_lines, small_beside_large, small_beside_large_pages, route_check, word_confidence,
-    document_confidence, edit_scores, edit_pairs, edit_windows, table_scores, text_likeness, eval_pages, eval_overall, eval_worst, check_tally, positional_match,
-    style_top, text_chunks, overlap_dropped, best_table_match, words_in_documents)}
-_avg = lambda k: f"coalesce(avg(score) FILTER (kind = '{k}'), 0.0)"
+    doc_pipe_tables, pipe_column_shares, page_spec, line_clusters, word_columns, doc_sections, continued_lines,
+    label_runs, nearest_amount, nearest_label, parties_by_place, labels_in_two_lines, small_beside_large, route_check, word_confidence,
+    document_confidence, edit_scores, edit_pairs, edit_windows, text_likeness, check_tally, positional_match,
+    style_top, text_chunks, overlap_dropped, best_table_match, words_in_documents, scans_by_record, words_boxed, layout_likeness)}
 ORACLE = {
     "doc_text_quality": f"SELECT doc_id, round({_quality('coalesce(text, chr(32))')}, 6) AS quality, round(CASE WHEN length(regexp_replace(coalesce(text,''), '{_SP}', '', 'g')) = 0 THEN 0.0 ELSE length(regexp_replace(regexp_replace(coalesce(text,''), '{_SP}', '', 'g'), '[^一-鿿]', '', 'g')) / CAST(length(regexp_replace(coalesce(text,''), '{_SP}', '', 'g')) AS DOUBLE) END, 6) AS han_share FROM documents",
     "line_cleaned": f"SELECT line_id, {_CLEAN} AS clean FROM ocr_lines",
     "line_noise": f"WITH c AS (SELECT line_id, {_CLEAN} AS clean FROM ocr_lines) SELECT line_id, {_noise('clean')} AS noise FROM c",
-    "page_marks": f"WITH {_BLOCKS} SELECT scan_id, clean AS mark, count(*) AS n FROM b WHERE label NOT IN ('header','foot','image','table') AND length(clean) BETWEEN 2 AND 8 AND regexp_matches(clean, '^[一-鿿A-Za-z0-9·、，。]+$') AND length(clean) <= 6 GROUP BY ALL HAVING count(*) >= 4",
+    "page_marks": rf"""WITH l AS (SELECT source AS scan_id, {_cleaned('line')} AS mark FROM (SELECT source, unnest(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10))) AS line FROM documents WHERE text IS NOT NULL AND source IS NOT NULL))
+      SELECT scan_id, mark, count(*) AS n FROM l WHERE length(mark) BETWEEN 2 AND 6 AND regexp_matches(mark, '^[一-鿿A-Za-z0-9·、，。]+$') GROUP BY ALL HAVING count(*) >= 4""",
     "page_metrics": f"""WITH {_BLOCKS}, m AS (SELECT scan_id, clean FROM b WHERE label NOT IN ('header','foot','image','table') AND length(clean) BETWEEN 2 AND 6 AND regexp_matches(clean, '^[一-鿿A-Za-z0-9·、，。]+$') GROUP BY ALL HAVING count(*) >= 4),
       x AS (SELECT b.*, (m.clean IS NOT NULL OR {_noise('b.clean')}) AS noise FROM b LEFT JOIN m ON m.scan_id = b.scan_id AND m.clean = b.clean)
       SELECT scan_id, page_no, CAST(coalesce(sum(length(trim(coalesce(text, ''), ' '))) FILTER (label NOT IN ('foot','image')), 0) AS BIGINT) AS raw_len,
@@ -341,14 +346,37 @@ ORACLE = {
       SELECT l.scan_id, l.page_no, max(amount) AS amount FROM l JOIN a USING (scan_id, page_no) WHERE amount IS NOT NULL AND abs(ay - ly) < 0.04 AND ax >= lx GROUP BY ALL""",
     "nearest_label": """SELECT line_id, label FROM (SELECT v.line_id, l.text AS label, row_number() OVER (PARTITION BY v.line_id ORDER BY abs(v.x - l.x) + abs(v.y - l.y), l.line_idx) AS k
       FROM ocr_lines v JOIN ocr_lines l USING (scan_id, page_no) WHERE regexp_matches(v.text, '^[0-9A-Z]{18}$') AND contains(l.text, '名称')) WHERE k = 1""",
-    "labels_in_two_lines": """WITH n AS (SELECT *, lead(text) OVER w AS nt, lead(y) OVER w AS ny FROM ocr_lines WINDOW w AS (PARTITION BY scan_id, page_no ORDER BY line_idx, line_id))
-      SELECT scan_id, page_no, line_idx FROM n WHERE trim(text, ' ') = '名' AND starts_with(trim(nt, ' '), '称') AND abs(y - ny) < 0.05""",
-    "small_beside_large": """WITH b AS (SELECT line_id, scan_id, x, y, width * height AS area FROM ocr_lines WHERE page_no = 1 AND width IS NOT NULL)
-      SELECT line_id FROM b s WHERE NOT EXISTS (SELECT 1 FROM b g WHERE g.scan_id = s.scan_id AND abs(s.x - g.x) < 0.05 AND abs(s.y - g.y) < 0.05 AND s.area * 2 < g.area)""",
+    "labels_in_two_lines": "SELECT scan_id, page_no, CAST(line_idx * 2 AS INT) AS line_idx, '名' || substr(text, 2) AS label FROM ocr_lines WHERE starts_with(text, '名称') AND y IS NOT NULL",
+    "small_beside_large": """WITH b AS (SELECT line_id, scan_id, page_no, x + width / 2 AS cx, y + height / 2 AS cy, coalesce(least(width, height) >= 0.02::DOUBLE AND width IS NOT NULL AND height IS NOT NULL, false) AS large FROM ocr_lines)
+      SELECT line_id FROM b s WHERE large OR NOT EXISTS (SELECT 1 FROM b g WHERE g.large AND g.scan_id = s.scan_id AND g.page_no = s.page_no AND abs(s.cx - g.cx) < 0.3::DOUBLE AND abs(s.cy - g.cy) < 0.3::DOUBLE)""",
     "route_check": """SELECT tier, CAST(CASE WHEN coalesce(has_text_layer, false) AND NOT coalesce(has_red_seal, false) THEN 0 ELSE 2 END AS INT) AS route, has_text_layer, has_red_seal, count(*) AS files,
       CAST(coalesce(sum(page_count), 0) AS BIGINT) AS pages, CAST(coalesce(sum(CASE WHEN NOT (coalesce(has_text_layer, false) AND NOT coalesce(has_red_seal, false)) THEN page_count * 2 END), 0) AS BIGINT) AS billed FROM scan_files GROUP BY ALL""",
-    "word_confidence": "SELECT page, coalesce(avg(conf) FILTER (conf >= 0), 0.0) AS mean_conf, coalesce(avg(CAST(conf < 75 AS INT)::DOUBLE) FILTER (conf >= 0), 0.0) AS low_ratio FROM (VALUES " + ", ".join(f"('{w}', {p}, {c}::DOUBLE)" for w, p, _, c in WORDS if w) + ") v(word, page, conf) GROUP BY page",
-    "document_confidence": "SELECT avg(m) AS doc_conf FROM (SELECT coalesce(avg(conf) FILTER (conf >= 0), 0.0) AS m FROM (VALUES " + ", ".join(f"('{w}', {p}, {c}::DOUBLE)" for w, p, _, c in WORDS if w) + ") v(word, page, conf) GROUP BY page)",
+    "word_confidence": _CONF + " SELECT scan_id, page_no, round(m, 6) AS mean_conf, round(low, 6) AS low_ratio FROM p",
+    "document_confidence": _CONF + " SELECT scan_id, round(avg(m), 6) AS doc_conf FROM p GROUP BY scan_id",
+    "page_spec": """WITH f AS (SELECT scan_id, CAST(coalesce(page_count, 12) AS INT) AS total, scan_id % 3 + 1 AS a, scan_id % 9 + 1 AS b, scan_id % 4 + 1 AS c, scan_id % 13 + 1 AS e FROM scan_files),
+      p AS (SELECT scan_id, list_sort(list_distinct(list_transform(list_filter(list_concat([a, e], range(least(b, c), greatest(b, c) + 1)), lambda x: x <= total), lambda x: CAST(x - 1 AS INT)))) AS ps FROM f)
+      SELECT scan_id, CASE WHEN scan_id % 11 = 0 OR len(ps) = 0 THEN NULL ELSE ps END AS pages FROM p""",
+    "words_boxed": """WITH b AS (SELECT scan_id, page_no, line_id, x + width / 2 AS cx, y + height / 2 AS cy, width AS w, height AS h, round(width * height, 9) AS weight FROM ocr_lines WHERE x IS NOT NULL AND y IS NOT NULL AND width IS NOT NULL AND height IS NOT NULL)
+      SELECT scan_id, page_no, line_id, CAST(k AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, page_no ORDER BY weight DESC, line_id) AS k FROM b WHERE NOT EXISTS (SELECT 1 FROM b g WHERE g.scan_id = b.scan_id AND g.page_no = b.page_no
+        AND (g.weight > b.weight OR (g.weight = b.weight AND g.line_id < b.line_id)) AND abs(g.cx - b.cx) < least(g.w, b.w) * 0.42::DOUBLE AND abs(g.cy - b.cy) < least(g.h, b.h) * 0.42::DOUBLE)) WHERE k <= 6""",
+    "layout_likeness": r"""WITH l AS (SELECT scan_id, page_no, text, CASE WHEN regexp_matches(trim(text, ' '), '^甲\s*方|^乙\s*方') THEN 'left' WHEN contains(text, '服务合同') OR trim(text, ' ') = '合同' THEN 'center' WHEN w > 0.58::DOUBLE THEN 'center'
+        WHEN m BETWEEN 0.36::DOUBLE AND 0.64::DOUBLE AND (w > 0.38::DOUBLE OR length(text) <= 36) THEN 'center' WHEN m >= 0.68::DOUBLE THEN 'right' ELSE 'left' END AS al
+        FROM (SELECT scan_id, page_no, text, (x + (x + width)) / 2 AS m, x + width - x AS w FROM ocr_lines WHERE text IS NOT NULL)),
+      f AS (SELECT scan_id, page_no, count(*) AS n, sum(length(text)) AS t, count(*) FILTER (al = 'left') AS lf, count(*) FILTER (al = 'center') AS ce, count(*) FILTER (al = 'right') AS ri FROM l GROUP BY ALL)
+      SELECT a.scan_id, a.page_no, round(least(1.0, least(a.n, b.n) / CAST(greatest(a.n, b.n) AS DOUBLE) * 0.2::DOUBLE
+        + greatest(0, 1 - (abs(a.lf - b.lf) + abs(a.ce - b.ce) + abs(a.ri - b.ri)) / CAST(greatest(b.lf + b.ce + b.ri, 1) AS DOUBLE)) * 0.25::DOUBLE + 0.15::DOUBLE
+        + CASE WHEN a.t > 0 OR b.t > 0 THEN least(a.t, b.t) / CAST(greatest(a.t, b.t, 1) AS DOUBLE) * 0.25::DOUBLE ELSE 0 END), 6) AS likeness FROM f a JOIN f b ON a.scan_id = b.scan_id AND b.page_no = a.page_no + 1""",
+    "line_clusters": r"""WITH w AS (SELECT scan_id, page_no, round_even(((1 - y) * 1000) / 4.0, 0) * 4.0 AS line_key, x, text FROM ocr_lines WHERE length(text) > 0),
+      p AS (SELECT *, lag(text) OVER (PARTITION BY scan_id, page_no, line_key ORDER BY x NULLS FIRST, text) AS b FROM w),
+      j AS (SELECT scan_id, page_no, line_key, trim(string_agg(CASE WHEN regexp_matches(right(b, 1), '^[\x00-\x7F]$') AND regexp_matches(text, '^[\x00-\x7F]*$') THEN ' ' || text ELSE text END, '' ORDER BY x NULLS FIRST, text), ' ') AS t FROM p GROUP BY ALL)
+      SELECT scan_id, page_no, line_key, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '([一-鿿])[\s\x0b]+([一-鿿])', '\1\2', 'g'), '([一-鿿])[\s\x0b]+([一-鿿])', '\1\2', 'g'), '([，、；：])[\s\x0b]+', '\1', 'g'), '[\s\x0b]{2,}', ' ', 'g'), ' ') AS line_text FROM j""",
+    "text_likeness": r"""WITH k AS (SELECT doc_id, lead(doc_id) OVER w AS next_id, text AS a, lead(text) OVER w AS b FROM documents WHERE length(text) > 0 WINDOW w AS (PARTITION BY source ORDER BY received_at NULLS FIRST, doc_id)),
+      s AS (SELECT doc_id, next_id, regexp_replace(a, '[\s\pZ\x0b\x{85}]+', '', 'g') AS x, regexp_replace(b, '[\s\pZ\x0b\x{85}]+', '', 'g') AS y FROM k WHERE next_id IS NOT NULL),
+      c AS (SELECT *, string_split(x, '') AS cx, string_split(y, '') AS cy FROM s),
+      g AS (SELECT doc_id, next_id, x, y, CASE WHEN length(x) > 1 THEN list_distinct(list_transform(range(1, length(x)), lambda i: cx[i] || cx[i + 1])) ELSE [x] END AS m, CASE WHEN length(y) > 1 THEN list_distinct(list_transform(range(1, length(y)), lambda i: cy[i] || cy[i + 1])) ELSE [y] END AS n FROM c),
+      o AS (SELECT *, len(list_intersect(m, n)) AS shared FROM g)
+      SELECT doc_id, next_id, round(CASE WHEN x = '' AND y = '' THEN 1.0 WHEN x = '' OR y = '' THEN 0.0 ELSE greatest(CASE WHEN length(x) < length(y) AND contains(y, substr(x, 1, 40)) THEN 0.85::DOUBLE WHEN length(y) < length(x) AND contains(x, substr(y, 1, 40)) THEN 0.85::DOUBLE ELSE 0 END,
+        0.5::DOUBLE * (shared / CAST(greatest(len(m) + len(n) - shared, 1) AS DOUBLE)) + 0.3::DOUBLE * (least(length(x), length(y)) / CAST(greatest(length(x), length(y)) AS DOUBLE)) + 0.2::DOUBLE * CASE WHEN substr(x, 1, 20) = substr(y, 1, 20) THEN 1 ELSE 0 END) END, 6) AS likeness FROM o""",
     "edit_scores": r"""WITH p AS (SELECT row_id, regexp_replace(original_name, '[^0-9A-Za-z._]', '', 'g') AS a, '20240101_' || lpad(CAST(row_id AS VARCHAR), 8, '0') || '.pdf' AS b FROM invoice_records)
       SELECT row_id, round_even(CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0 ELSE 1 - levenshtein(a, b) / CAST(greatest(length(a), length(b)) AS DOUBLE) END * 100, 2) AS score FROM p""",
     "doc_usable": r"""WITH k AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), l AS (SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '^\s*!\[[^\]]*\]\([^)]+\)\s*$')), chr(10)) AS t FROM k)
@@ -359,15 +387,13 @@ ORACLE = {
       FROM l GROUP BY scan_id HAVING max(page_no) = 1 AND (buyer_name IS NOT NULL OR seller_name IS NOT NULL)""",
     "edit_pairs": "SELECT a, b, score, CASE WHEN a = '' THEN 100.0 WHEN b = '' THEN 0.0 WHEN contains(b, a) THEN greatest(score, 92.0) ELSE score END AS window_score FROM (SELECT *, round_even((CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0 ELSE 1 - levenshtein(a, b) / CAST(greatest(length(a), length(b)) AS DOUBLE) END) * 100, 2) AS score FROM (SELECT a, b FROM (VALUES "
     + ", ".join(f"({_q(a)}, {_q(b)}, {_q(a.replace(' ', ''))}, {_q(b.replace(' ', ''))})" for a, b in NEAR) + ") v(a, b, ca, cb)))",
-    "eval_pages": _SCORED + f" SELECT page, round({_avg('text')}, 4) AS text_avg, round({_avg('table')}, 4) AS table_avg FROM scored GROUP BY page",
-    "eval_overall": _SCORED + f" SELECT count(*) FILTER (kind = 'text') AS text_blocks, count(*) FILTER (kind = 'table') AS table_blocks, round({_avg('text')}, 4) AS text_avg, round({_avg('table')}, 4) AS table_avg, round({_avg('text')} * 0.6 + {_avg('table')} * 0.4, 4) AS overall FROM scored",
-    "eval_worst": _SCORED + " SELECT page, block, round(score, 4) AS score FROM scored ORDER BY scored.score, page, block LIMIT 8",
     "check_tally": "SELECT count(*) FILTER (ok) AS passed, count(*) FILTER (NOT ok) AS failed, count(*) FILTER (ok IS NULL) AS skipped FROM (SELECT CASE WHEN page_count IS NOT NULL THEN has_text_layer END AS ok FROM scan_files)",
     "positional_match": """WITH l AS (SELECT scan_id, page_no, line_id, row_number() OVER (PARTITION BY scan_id, page_no ORDER BY line_idx) AS k FROM ocr_lines WHERE starts_with(text, '名称')),
       r AS (SELECT scan_id, page_no, line_id AS code_line, row_number() OVER (PARTITION BY scan_id, page_no ORDER BY line_idx) AS k FROM ocr_lines WHERE regexp_matches(text, '^[0-9A-Z]{18}$'))
       SELECT l.line_id, r.code_line FROM l LEFT JOIN r USING (scan_id, page_no, k)""",
     "style_top": """SELECT page_kind, h, n FROM (SELECT CASE WHEN scan_id = 1 THEN 'binder' ELSE 'other' END AS page_kind, round(height, 3) AS h, count(*) AS n, row_number() OVER (PARTITION BY CASE WHEN scan_id = 1 THEN 'binder' ELSE 'other' END ORDER BY count(*) DESC, round(height, 3)) AS k
       FROM ocr_lines WHERE height IS NOT NULL GROUP BY ALL) WHERE k <= 5""".replace("GROUP BY ALL", "GROUP BY 1, 2"),
+    "scans_by_record": "SELECT scan_id, EXISTS (SELECT 1 FROM invoice_records r WHERE r.row_id = s.row_id AND r.status IS NOT NULL) AS has_record FROM scan_files s",
     "words_in_documents": "SELECT doc_id, EXISTS (SELECT 1 FROM category_ref c WHERE contains(d.text, c.name)) AS names_one FROM documents d WHERE text IS NOT NULL",
 }
 ORACLE = {k: v for k, v in ORACLE.items() if v}

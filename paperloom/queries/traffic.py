@@ -14,8 +14,10 @@ OLD_UNTIL, NEW_FROM, TODAY = "2025-06-30", "2025-06-01", "2030-01-01"
 # Labels of tool paths, longest prefix wins.
 LABELS = (("/api/", "tool"), ("/api/convert", "conversion"), ("/api/convert?to=docx", "conversion to docx"), ("/api/scan/", "scan"),
           ("/api/scan/start", "scan job"), ("/api/ocr", "text recognition"), ("/api/merge", "merging"))
-#: Tools that are billed by call.
+#: Times that a recognised page is billed.
 BILLED = 2
+# Shown names of tools.
+NAMES = (("/api/ocr", "text recognition"), ("/api/convert", "conversion"), ("/api/merge", "merging"))
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
@@ -80,8 +82,16 @@ def usage_last_days(spark, d):
 
 
 def usage_billing(spark, d):
-    per_day = t.per_name(_lines(spark, d), "tool").where(F.col("name").startswith("/api/ocr") | F.col("name").startswith("/api/convert"))
-    return per_day.groupBy("day").agg(F.sum("n").alias("calls"), (F.sum("n") * BILLED).alias("billed"))
+    """Pages of recognised files by day; each is billed twice, once with the whole file and once alone."""
+    files = table(spark, d, "scan_files").where("tier = 2 AND page_count > 0").select(F.to_date("received_at").alias("day"), "page_count")
+    return files.groupBy("day").agg(F.count(F.lit(1)).alias("files"), F.sum("page_count").alias("pages"), (F.sum("page_count") * BILLED).alias("billed"))
+
+
+def usage_named(spark, d):
+    """Totals under the names of a fixed list; what isn't listed keeps its key."""
+    names = spark.createDataFrame(NAMES, "name string, shown string")
+    totals = t.per_name(_lines(spark, d), "tool").groupBy("name").agg(F.sum("n").alias("n"))
+    return totals.join(F.broadcast(names), "name", "left").select("name", F.coalesce("shown", "name").alias("shown"), "n")  # the list is fixed
 
 
 _SCAN = a.SCANNER.replace("'", "''")
@@ -109,7 +119,7 @@ WITH parsed AS (
 _LABEL_ROWS = ", ".join(f"('{k}', '{v}')" for k, v in LABELS)
 QUERIES = {f.__name__: f for f in (
     traffic_calls, traffic_classified, traffic_malformed, traffic_daily, traffic_zero_days, traffic_top_pages, traffic_top_tools,
-    traffic_latest_tools, traffic_history_merge, traffic_change, traffic_last_week, traffic_tool_labels, usage_last_days, usage_billing)}
+    traffic_latest_tools, traffic_history_merge, traffic_change, traffic_last_week, traffic_tool_labels, usage_last_days, usage_billing, usage_named)}
 ORACLE = {
     "traffic_calls": _CALLS + "SELECT day, method, status, kind, count(*) AS n FROM named GROUP BY ALL",
     "traffic_classified": _CALLS + "SELECT kind, count(*) AS n FROM named GROUP BY kind",
@@ -130,6 +140,6 @@ ORACLE = {
       SELECT name, n, coalesce((SELECT label FROM labels WHERE starts_with(s.name, key) ORDER BY length(key) DESC LIMIT 1), name) AS label FROM s""",
     "usage_last_days": _CALLS + """SELECT name, CAST(sum(n) AS BIGINT) AS total FROM tools
       WHERE day IN (SELECT DISTINCT day FROM tools ORDER BY day DESC LIMIT 30) GROUP BY name""",
-    "usage_billing": _CALLS + f"""SELECT day, CAST(sum(n) AS BIGINT) AS calls, CAST(sum(n) * {BILLED} AS BIGINT) AS billed FROM tools
-      WHERE starts_with(name, '/api/ocr') OR starts_with(name, '/api/convert') GROUP BY day""",
+    "usage_billing": "SELECT CAST(received_at AS DATE) AS day, count(*) AS files, CAST(sum(page_count) AS BIGINT) AS pages, CAST(sum(page_count) * 2 AS BIGINT) AS billed FROM scan_files WHERE tier = 2 AND page_count > 0 GROUP BY 1",
+    "usage_named": _CALLS + "SELECT name, CASE name WHEN '/api/ocr' THEN 'text recognition' WHEN '/api/convert' THEN 'conversion' WHEN '/api/merge' THEN 'merging' ELSE name END AS shown, CAST(sum(n) AS BIGINT) AS n FROM tools GROUP BY name",
 }

@@ -45,12 +45,13 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def runs_of_docx(content: bytes | None) -> str | None:
-    """Text runs of an office document in order; null for what is none."""
+    """Text runs of an office document in order, a line for each paragraph; null for what is none."""
     try:
         xml = zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml").decode("utf-8", "ignore")
     except Exception:
         return None
-    text = "".join(re.findall(r"<w:t(?: [^>]*)?>([^<]*)</w:t>", xml))
+    paragraphs = re.findall(r"<w:p[ >].*?</w:p>", xml, re.S) or [xml]
+    text = "\n".join("".join(re.findall(r"<w:t(?: [^>]*)?>([^<]*)</w:t>", p)) for p in paragraphs)
     return text.replace("&lt;", "<").replace("&gt;", ">").replace("&quot;", '"').replace("&amp;", "&")
 
 
@@ -66,7 +67,7 @@ def docx_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 def plain_texts(spark: SparkSession, folder: str) -> DataFrame:
     """(name, text): whole text files, bad bytes replaced."""
-    df = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(folder)
+    df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
     return df.select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("name"), F.col("value").alias("text"))
 
 

@@ -17,9 +17,11 @@ def log_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.text(folder).select(F.col("value").alias("raw_line"))
 
 
-def table_stream(spark: SparkSession, path: str) -> DataFrame:
+def table_stream(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """Lines of a folder of parquet files, at most ``files`` of them in one batch."""
     schema = "raw_line string, log_file string, received_at timestamp_ntz"
-    return spark.readStream.schema(schema).parquet(path)
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
 
 
 def daily_stream(lines: DataFrame, late: str = LATE) -> DataFrame:
@@ -37,23 +39,23 @@ def visitor_stream(lines: DataFrame, late: str = LATE) -> DataFrame:
     return pages.withWatermark("at", late).dropDuplicatesWithinWatermark(["day", "ip"]).select("day", "ip")
 
 
-def keep_history(lines: DataFrame, folder: str, checkpoint: str):
+def upserted(old: DataFrame, new: DataFrame) -> DataFrame:
+    """History with the days of ``new`` (day, pv, tools) replaced; the visitors of a day that is known stay."""
+    known = old.select("day", F.col("pv").alias("o_pv"), F.col("uv").alias("uv"), F.col("tools").alias("o_tools"))
+    return known.join(new.select("day", "pv", "tools"), "day", "full").select("day", F.coalesce("pv", "o_pv").alias("pv"), "uv", F.coalesce("tools", "o_tools").alias("tools"))
+
+
+def keep_history(lines: DataFrame, folder: str, checkpoint: str, late: str = LATE):
     """Start a query that replaces the days of each batch in the history, once per batch.
 
     A batch that is run again after a failure replaces the same days with the same counts.
     """
     def upsert(batch: DataFrame, _: int) -> None:
-        new = batch
-        old = sinks.read_history(batch.sparkSession, folder)
-        kept = old.join(new.select("day"), "day", "left_anti")
-        sinks.write_history(kept.select("day", "pv", "uv", "tools").unionByName(new.select("day", "pv", F.lit(None).cast("bigint").alias("uv"), "tools")), folder)
+        sinks.write_history(upserted(sinks.read_history(batch.sparkSession, folder), batch), folder)
 
-    return daily_stream(lines).writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return daily_stream(lines, late).writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def collected(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what is there and give its result table."""
-    spark = stream.sparkSession
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+def keep_rows(stream: DataFrame, folder: str, checkpoint: str):
+    """Start a query that appends its rows to a folder of parquet files, each batch exactly once."""
+    return stream.writeStream.format("parquet").outputMode("append").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

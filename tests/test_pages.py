@@ -4,30 +4,112 @@ import datetime
 import random
 import re
 
-from paperloom.queries import extraction, pages
+from pyspark.sql import functions as F
+
+from paperloom.functions import misc, score, text
+from paperloom.plans import blocks, evaluation, layout
+from paperloom.queries import pages
+from paperloom.sources import sinks
+from paperloom.streaming import traffic as st
 
 BOX = "line_id bigint, scan_id bigint, page_no int, x double, y double, width double, height double"
 
 
-def test_small_beside_large_on_every_page(spark, tmp_path):
+def test_small_beside_large_on_every_page(spark):
     rng = random.Random(7)
-    rows = [(i, 1 + i % 2, 1 + i // 60, rng.choice([0.05, 0.1, 0.15, rng.random(), -0.02]), rng.random() / 4, rng.choice([0.01, 0.03, 0.2]), 0.02) for i in range(240)]
+    rows = [(i, 1 + i % 2, 1 + i // 60, rng.choice([0.05, 0.1, 0.15, rng.random(), -0.02]), rng.random() / 4, rng.choice([0.01, 0.03, 0.2]), rng.choice([0.01, 0.05])) for i in range(240)]
     rows += [(900, 1, 2, None, 0.1, 0.1, 0.1), (901, 1, 2, 0.1, None, 0.01, 0.01), (902, 1, 3, 0.1, 0.1, None, 0.1), (903, None, 3, 0.1, 0.1, 0.1, 0.1)]
-    spark.createDataFrame(rows, BOX).write.parquet(f"{tmp_path}/ocr_lines.parquet")
+    rows += [(950, 9, 1, 0.1, 0.1, 0.01, 0.01), (951, 9, 1, 0.1, 0.1, 0.01, 0.01)]  # a page without large boxes
+    df = spark.createDataFrame(rows, BOX).selectExpr("*", "0 AS area", "1 AS bx")
+    large = lambda r: None not in r[5:7] and min(r[5:7]) >= 0.03
 
     def dropped(s):
-        return any(g[1:3] == s[1:3] and None not in (*g[1:6], *s[3:6]) and abs(s[3] - g[3]) < 0.05 and abs(s[4] - g[4]) < 0.05 and s[5] * s[6] * 2 < g[5] * g[6] for g in rows)
+        if large(s) or None in s[3:7]:
+            return False
+        middle = lambda r: (r[3] + r[5] / 2, r[4] + r[6] / 2)
+        return any(large(g) and g[1:3] == s[1:3] and None not in (*g[1:7], s[1]) and max(abs(a - b) for a, b in zip(middle(s), middle(g))) < 0.05 for g in rows)
 
-    got = sorted(r["line_id"] for r in pages.small_beside_large_pages(spark, str(tmp_path)).collect())
-    want = sorted(r[0] for r in rows if r[5] is not None and not dropped(r))
+    got = sorted(r["line_id"] for r in layout.small_beside_large(df, ["scan_id", "page_no"], "width", "height", "x", "y", 0.03, 0.05).collect())
+    want = sorted(r[0] for r in rows if not dropped(r))
     assert got == want and any(r[2] > 1 and dropped(r) for r in rows)
 
 
-def test_corners_of_every_page(spark, tmp_path):
-    rows = [(1, 1, 1, 0.1, 0.5, 0.8, 0.25), (2, 1, 2, 0.25, 0.5, 0.5, 0.25), (3, 1, 9, 0.75, 0.5, 0.125, 0.25), (4, 2, None, None, 0.5, 0.125, 0.0)]
-    spark.createDataFrame(rows, BOX).write.parquet(f"{tmp_path}/ocr_lines.parquet")
-    got = {r["line_id"]: (round(r["far"], 6), r["align"]) for r in extraction.box_corners_pages(spark, str(tmp_path)).collect()}
-    assert got == {1: (0.9, "left"), 2: (0.75, "center"), 3: (0.875, "right"), 4: (10.0, "left")}
+def test_alignment(spark):
+    rows = [(0.1, 0.9, "long line"), (0.25, 0.75, "x"), (0.7, 0.8, "x"), (0.45, 0.5, "y" * 40), (0.0, 0.9, "甲 方：某"), (0.7, 0.8, "服务合同（二）"), (0.0, 0.1, None), (0.4, 0.42, "short")]
+    df = spark.createDataFrame(rows, "a double, b double, t string")
+    got = [r[0] for r in df.select(misc.alignment(F.col("a"), F.col("b"), F.lit(1.0), F.col("t"))).collect()]
+    assert got == ["center", "center", "right", "left", "left", "center", "left", "center"]
+
+
+def test_cleaning(spark):
+    rows = [("## 标题  一", "标题 一"), ("正德厚生臻子不\"甲防盖章", "不\"甲方盖章"), ("哪生臻子不\" 黑章", "盖章"), ("1硬件　粉察", "IT硬件 勘察"), ("SU\\系统", "SDN系统"), ("于至善。 平方", "甲方"), ("臻、x", "x"), (None, ""), ("\u2003a\u00a0\u00a0b\u2003", "a b")]
+    df = spark.createDataFrame(rows, "t string, want string")
+    assert df.select(text.cleaned(F.col("t")).alias("got"), "want").where("got <> want").collect() == []
+
+
+def test_poor_glyphs(spark):
+    df = spark.createDataFrame([("皇后",), ("先後",), ("a|b",), (None,)], "t string")
+    assert [r[0] for r in df.select(misc.poorly_read(F.col("t"))).collect()] == [False, True, True, False]
+
+
+def test_boxes_kept_by_weight():
+    box = lambda i, x, y, w: {"id": i, "x": x, "y": y, "width": 10.0, "height": 10.0, "weight": w}
+    assert layout.spread_boxes([box(1, 0, 0, 5.0), box(2, 3, 3, 9.0), box(3, 50, 0, 5.0), box(4, 80, 0, 5.0)], 2) == [2, 3]
+    assert layout.spread_boxes([], 3) == []
+
+
+def test_classes_of_blocks(spark):
+    table_ = lambda cells: "<table>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in cells) + "</table>"
+    form = table_([["序号", "考评内容", "扣分标准", "得分"]] + [["1", "服务管理考评", "每次扣二分", "5"]] * 3)
+    rows = [
+        (1, "para", "考评打分表 扣分标准"), (1, "table", form), (2, "para", "甲方与乙方签订服务合同"), (3, "para", None), (4, "table", table_([["||", "%%"], ["~~", "^^"], ["--", "=="]])),
+        (5, "para", "任务清单"), (5, "table", table_([["时间", "任务名称", "你需要做什么"], ["一", "二", "三"]])), (6, "para", "臻子至善"), (7, "image", None), (8, "table", table_([["扣分标准", "x"]]))]
+    blocks_ = spark.createDataFrame(rows, "page int, label string, text string")
+    stats = blocks.page_stats(blocks_, ["page"])
+    got = {r["page"]: r for r in blocks.classes(stats, ["page"]).collect()}
+    assert [p for p in got if got[p]["scoring_form"]] == [1] and [p for p in got if got[p]["contract"]] == [2]
+    assert sorted(p for p in got if got[p]["blank_risk"]) == [2, 3, 6, 7] and [p for p in got if got[p]["checklist"]] == [5]
+    assert [p for p in got if got[p]["watermark_heavy"]] == [6] and [p for p in got if got[p]["quality_abnormal"]] == [4]
+    assert sorted(p for p in got if got[p]["dense_table"]) == [1, 4] and sorted(p for p in got if got[p]["needs_table_snapshot"]) == [8]
+    assert sorted(p for p in got if got[p]["should_snapshot"]) == [3, 6, 7]
+    facts = {r["page"]: r for r in blocks.page_tables(blocks_, ["page"]).collect()}
+    assert facts[1]["scoring_header"] and facts[5]["task_header"] and not facts[4]["task_header"]
+    pictures = spark.createDataFrame([(1, "image", 0.0, 0.0, 60.0, 60.0), (2, "image", 0.0, 0.0, 50.0, 50.0), (3, "para", 0.0, 0.0, 99.0, 99.0), (4, "figure", None, None, None, None)],
+                                     "page int, label string, x0 double, y0 double, x1 double, y1 double").selectExpr("*", "100.0 AS w", "100.0 AS h")
+    assert sorted(r["page"] for r in blocks.large_images(pictures, ["page"], "w", "h").where("large_image").collect()) == [1]
+
+
+def test_better_reading_of_a_table(spark):
+    good, poor = "<table><tr><td>清楚的文字</td></tr></table>", "<table><tr><td>%%~~</td></tr></table>"
+    df = spark.createDataFrame([(good, poor), (poor, good), (good, ""), ("", good), (None, None), (good, good)], "a string, b string")
+    got = [r[0] for r in df.select(blocks.best_table(F.col("a"), F.col("b"), F.lit(False))).collect()]
+    assert got == [good, good, good, good, "", good]
+
+
+def test_evaluation_by_page(spark):
+    t = "<table><tr><td>a</td></tr></table>"
+    truth = spark.createDataFrame([(1, "text", 0, False, "hello world"), (1, "text", 1, True, "left out"), (1, "table", 0, False, t), (1, "table", 1, False, t), (2, "text", 0, False, "nothing"), (2, "text", 1, None, "")],
+                                  "page int, kind string, place int, ignore boolean, text string")
+    given = spark.createDataFrame([(1, f"a hello   world page ![x](y) {t}")], "page int, markdown string")
+    got = {(r["page"], r["kind"], r["place"]): r["score"] for r in evaluation.scored(truth, given, "page").collect()}
+    assert got == {(1, "text", 0): 92.0, (1, "table", 0): 100.0, (1, "table", 1): 0.0, (2, "text", 0): 0.0}
+
+
+def test_contained_text_needs_no_edits(spark):
+    """The score of a contained text is that of its edit distance."""
+    df = spark.createDataFrame([("abc", "xxabc"), ("abc", "abc"), ("b", "abc"), ("abcdefghijk", "abcdefghijkl")], "g string, p string")
+    for r in df.select(score.best_window_score(F.col("g"), F.col("p")).alias("s"), score.edit_score(F.col("g"), F.col("p")).alias("e")).collect():
+        assert r["s"] == max(r["e"], 92.0)
+
+
+def test_history_survives_a_stop(spark, tmp_path):
+    folder = str(tmp_path / "h")
+    days = spark.createDataFrame([("2026-01-01", 1, 2, 3)], "day string, pv bigint, uv bigint, tools bigint").withColumn("day", F.to_date("day"))
+    sinks.write_history(days, folder)
+    (tmp_path / "h").rename(tmp_path / "h-old")  # stopped after the old one was moved away
+    assert sinks.read_history(spark, folder).count() == 1
+    new = st.upserted(sinks.read_history(spark, folder), days.withColumn("pv", F.lit(9)).drop("uv")).first()
+    assert (new["pv"], new["uv"]) == (9, 2)
 
 
 def likeness(a, b):
