@@ -6,11 +6,12 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only if its counted rows times this row size stay below the limit.
+#: A side is broadcast only if its bytes stay below the limit; left rows of one key in a task before the key is spread.
 BROADCAST_LIMIT_BYTES = 8 << 20
+ROWS_A_TASK = 2_000_000
 
 
 def session(app: str = "paperloom", cpus: str = "*", partitions: int = 8) -> SparkSession:
@@ -63,18 +64,59 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def join_sized(left: DataFrame, right: DataFrame, on: list[str], how: str, row_bytes: int = 200, salts: int = 16) -> DataFrame:
-    """Join with a right side whose size is counted first.
+def free(*frames: DataFrame) -> None:
+    """Delete the files of ``cut`` frames that nothing reads any more: all that comes of them is cut itself.
 
-    ``right`` should be materialised (see ``cut``): its rows are counted, and only if rows *
-    row_bytes is below the limit is it broadcast. Otherwise both sides are shuffled with a salt:
-    each left row draws one of ``salts`` values and right rows are repeated for all of them,
-    so a key that holds a third of the left rows is spread over that many tasks. The salt is a
-    hash of the row, so a task that is run again after a loss gives each row the same one.
+    Frames that aren't cut, or whose files are gone, are passed by.
     """
-    if right.count() * row_bytes <= BROADCAST_LIMIT_BYTES:
+    for df in frames:
+        file = _cut_file(df)
+        if file is not None:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _cut_file(df: DataFrame) -> str | None:
+    plan = df._jdf.queryExecution().logical()
+    if plan.getClass().getSimpleName() != "LogicalRDD":
+        return None
+    file = plan.rdd().getCheckpointFile()
+    return file.get() if file.isDefined() else None
+
+
+def bytes_of(df: DataFrame, row_bytes: int) -> int:
+    """Bytes of a frame: those of its files if it was ``cut``, else its rows times a size that is given."""
+    file = _cut_file(df)
+    if file is None:
+        return df.count() * row_bytes
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
+    return path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
+def join_sized(left: DataFrame, right: DataFrame, on: list[str], how: str, row_bytes: int = 200) -> DataFrame:
+    """Join with a right side whose size is measured first.
+
+    The right side is broadcast only if its bytes are below the limit. Else both sides are shuffled,
+    and keys with more than ROWS_A_TASK left rows (nulls too) are counted and spread: each of their left rows
+    draws one of as many salts as the key needs tasks, and the right rows of these keys only are
+    repeated for them. There are at most rows / ROWS_A_TASK such keys, so their table is broadcast.
+    The salt is a hash of the row, so a task that is run again after a loss gives each row the same one.
+    """
+    if bytes_of(right, row_bytes) <= BROADCAST_LIMIT_BYTES:
         return left.join(F.broadcast(right), on, how)
+    hot = left.groupBy(*(F.col(c).alias(f"_h_{c}") for c in on)).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > ROWS_A_TASK)
+    hot = cut(hot.select(*(f"_h_{c}" for c in on), F.ceil(F.col("_n") / ROWS_A_TASK).cast("int").alias("_salts")))
+    if hot.isEmpty():
+        return left.join(right, on, how)
+
+    def salted(df: DataFrame, salt: Column) -> DataFrame:
+        same = F.lit(True)
+        for c in on:
+            same &= F.col(c).eqNullSafe(F.col(f"_h_{c}"))
+        return df.join(F.broadcast(hot), same, "left").withColumn("_salt", salt).drop("_salts", *(f"_h_{c}" for c in on))
+
     hashed = [c for c, kind in left.dtypes if "map<" not in kind]  # maps have no hash
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int"))
-    many = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(many, [*on, "_salt"], how).drop("_salt")
+    one = F.coalesce("_salts", F.lit(1))
+    spread = salted(left, F.pmod(F.xxhash64(*hashed), one).cast("int"))
+    many = salted(right, F.explode(F.sequence(F.lit(0), one - 1)))
+    return spread.join(many, [*on, "_salt"], how).drop("_salt")

@@ -8,13 +8,22 @@ from paperloom.operators import numbering
 
 
 @pytest.mark.parametrize("limit", [runtime.BROADCAST_LIMIT_BYTES, 0])
+@pytest.mark.parametrize("rows", [runtime.ROWS_A_TASK, 20])
 @pytest.mark.parametrize("how", ["inner", "left"])
-def test_join_sized(spark, monkeypatch, limit, how):
+def test_join_sized(spark, monkeypatch, limit, rows, how):
+    """Broadcast, plain and spread ways give the same rows; null keys match nothing."""
     monkeypatch.setattr(runtime, "BROADCAST_LIMIT_BYTES", limit)
-    left = spark.range(300).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 7).alias("k"), F.create_map(F.lit("a"), F.col("id")).alias("m"))
-    right = spark.createDataFrame([(k, f"v{k}") for k in range(5)], "k long, v string")
-    got = sorted((r["id"], r["v"]) for r in runtime.join_sized(left, right, ["k"], how).collect())
-    assert got == sorted((r["id"], r["v"]) for r in left.join(right, "k", how).collect())
+    monkeypatch.setattr(runtime, "ROWS_A_TASK", rows)
+    key = F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 5 == 0, None).otherwise(F.col("id") % 7)
+    left = spark.range(300).select("id", key.alias("k"), F.create_map(F.lit("a"), F.col("id")).alias("m"))
+    right = spark.createDataFrame([(k, f"v{k}") for k in [*range(5), 0, None]], "k long, v string")
+    got = sorted(((r["id"], r["v"]) for r in runtime.join_sized(left, runtime.cut(right), ["k"], how).collect()), key=str)
+    assert got == sorted(((r["id"], r["v"]) for r in left.join(right, "k", how).collect()), key=str)
+
+
+def test_bytes_are_measured(spark):
+    long = runtime.cut(spark.range(100).select(F.repeat(F.lit("x"), 10_000).alias("t")))
+    assert runtime.bytes_of(long, 1) > 1_000_000 and runtime.bytes_of(spark.range(100).toDF("v"), 7) == 700
 
 
 def test_numbers(spark):
@@ -28,3 +37,14 @@ def test_numbers(spark):
     for group in by.values():
         assert [n for _, n in sorted(group)] == list(range(1, len(group) + 1))
     assert numbering.numbered_within(rows.where("id > 999"), F.col("k"), ["id"]).count() == 0
+
+
+def test_free_deletes_what_was_cut(spark):
+    import os
+
+    a = runtime.cut(spark.range(10).toDF("v"))
+    b = runtime.cut(a.where("v > 3"))
+    place = a._jdf.queryExecution().logical().rdd().getCheckpointFile().get()
+    assert os.path.exists(place.removeprefix("file:"))
+    runtime.free(a, a, spark.range(3))
+    assert not os.path.exists(place.removeprefix("file:")) and b.count() == 6
