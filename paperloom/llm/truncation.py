@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.runtime import cut, join_sized
+from paperloom.runtime import cut, free, join_sized
 
 #: Least copies that make an ending or a closing line known, and their least share of the texts.
 LEAST_ENDS, ENDS_SHARE = 2, 2e-5
@@ -99,12 +99,13 @@ def continuations(values: DataFrame) -> DataFrame:
 
     ``rest`` is the continuation in the nearest longer value that is whole, null if only values
     that are not whole are longer. Values that begin with v stand directly behind it, so if any
-    whole one does, the next whole one in order does. One sort, from the end; between
-    partitions the first value and first whole value of each are compared.
+    whole one does, the next whole one in order does. One sort, from the end, in which equal
+    values meet and count once, as whole if one of them is; between partitions the first value
+    and first whole value of each are compared.
     """
     spark = values.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = values.where(F.length("v") > 0).groupBy("v").agg(F.max("whole").alias("whole")).repartitionByRange(parts, "v").sortWithinPartitions(F.desc("v"))
+    ordered = values.where(F.length("v") > 0).select("v", "whole").repartitionByRange(parts, "v").sortWithinPartitions(F.desc("v"), F.desc("whole"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -114,14 +115,15 @@ def continuations(values: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for v, whole in zip(batch["v"], batch["whole"]):
-                if v:
-                    begun = after is not None and after.startswith(v)
-                    if after_whole is not None and after_whole.startswith(v):
-                        out.append((v, whole, after_whole[len(v) : len(v) + REST], True, part, 0))
-                    elif after_whole is None and (after is None or begun):
-                        out.append((v, whole, None, begun, part, 1))  # may go on in the next partition
-                    elif begun:
-                        out.append((v, whole, None, True, part, 0))
+                if v == after:
+                    continue  # repeated
+                begun = after is not None and after.startswith(v)
+                if after_whole is not None and after_whole.startswith(v):
+                    out.append((v, whole, after_whole[len(v) : len(v) + REST], True, part, 0))
+                elif after_whole is None and (after is None or begun):
+                    out.append((v, whole, None, begun, part, 1))  # may go on in the next partition
+                elif begun:
+                    out.append((v, whole, None, True, part, 0))
                 after = v
                 after_whole = v if whole else after_whole
             if out:
@@ -168,7 +170,7 @@ def judge(documents: DataFrame, key: str = "doc_id", text: str = "text", source:
     forms = F.pandas_udf(_anatomies, FORM)
     blank_text = ~F.coalesce(F.col("text").rlike(r"(?U)\S"), F.lit(False))
     full = rows.where(~blank_text)
-    texts = cut(full.select("text").distinct().withColumn("id", F.xxhash64("text")).withColumn("form", forms("text")).select("id", "text", "form.*"))
+    texts = cut(full.select("text").distinct().withColumn("id", F.xxhash64("text")).withColumn("form", forms("text")).select("id", "form.*", F.xxhash64("form.body").alias("body_id"), F.xxhash64("form.fragment").alias("fragment_id")))
     n = texts.count()
     known_ends = cut(
         texts.select(F.explode("ends").alias("tail")).groupBy("tail").count()
@@ -179,23 +181,25 @@ def judge(documents: DataFrame, key: str = "doc_id", text: str = "text", source:
         .where(F.col("count") >= max(LEAST_CLOSINGS, n * CLOSINGS_SHARE)).select("closing", F.lit(True).alias("closed"))
     )
     on = F.pandas_udf(_goes_on, T.StringType())
-    copies = cut(continuations(texts.select(F.col("body").alias("v"), F.lit(True).alias("whole"))).select(F.col("v").alias("body"), on("v", "rest").alias("on")))
+    copies = cut(continuations(texts.select(F.col("body").alias("v"), F.lit(True).alias("whole"))).select(F.xxhash64("v").alias("body_id"), on("v", "rest").alias("on")))
     sentences = texts.select("id", F.explode("sentences").alias("s"))
     # copies that are none by chance: a sentence of them is in hardly any other text
-    doubted = texts.join(copies.where("on = 'behind'"), "body").select("id", F.explode("sentences").alias("s"))
+    doubted = texts.select("body_id", "id", "sentences").join(copies.where("on = 'behind'"), "body_id").select("id", F.explode("sentences").alias("s"))
     rare = sentences.join(doubted.select("s").distinct(), "s", "left_semi").groupBy("s").count().where(F.col("count") <= TELLING)
     telling = cut(doubted.join(rare, "s").select("id").distinct().withColumn("telling", F.lit(True)))
-    begun = cut(continuations(texts.select(F.col("fragment").alias("v"), F.lit(False).alias("whole")).unionByName(sentences.select(F.col("s").alias("v"), F.lit(True).alias("whole")))))
+    begun = cut(continuations(texts.select(F.col("fragment").alias("v"), F.lit(False).alias("whole")).unionByName(sentences.select(F.col("s").alias("v"), F.lit(True).alias("whole")))
+        .groupBy("v").agg(F.max("whole").alias("whole"))))  # sentences repeat often
     appendices = begun.where("whole AND rest IS NOT NULL").groupBy("rest").count().where(F.col("count") >= APPENDIX).select("rest", F.lit(True).alias("appendix"))
     fragments = begun.join(appendices, "rest", "left").select(
-        F.col("v").alias("fragment"), F.lit(True).alias("begun"),
-        (~F.col("whole") & (F.length("v") >= PREFIX) & F.col("rest").isNotNull() & F.col("appendix").isNull()).alias("unfinished"))
+        F.xxhash64("v").alias("fragment_id"), F.lit(True).alias("begun"),
+        (~F.col("whole") & (F.length("v") >= PREFIX) & F.col("rest").isNotNull() & F.col("appendix").isNull()).alias("unfinished"))  # values are told by their hash from here on
     dotted = F.col("text").rlike(_DOTS)
     # lengths at which texts pile up, and those at which texts that end with dots do: dots that the field put there
-    sizes = full.select("source", "text").distinct().withColumn("n", F.explode(F.array(
-        F.struct(F.lit("chars").alias("unit"), F.length("text").alias("n")),
-        F.struct(F.lit("bytes").alias("unit"), F.octet_length("text").alias("n")),
-        F.struct(F.lit("dots").alias("unit"), F.when(dotted, F.length("text")).alias("n"))))).select("source", "n.*").where("n IS NOT NULL")
+    sizes = full.select("source", F.xxhash64("text").alias("id"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), dotted.alias("dotted")).distinct()
+    sizes = sizes.withColumn("n", F.explode(F.array(
+        F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("n")),
+        F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("n")),
+        F.struct(F.lit("dots").alias("unit"), F.when(F.col("dotted"), F.col("chars")).alias("n"))))).select("source", "n.*").where("n IS NOT NULL")
     near = Window.partitionBy("source", "unit").orderBy("n").rangeBetween(-NEARBY, NEARBY)
     limits = (
         sizes.groupBy("source", "unit", "n").agg(F.count(F.lit(1)).alias("c"))
@@ -207,17 +211,19 @@ def judge(documents: DataFrame, key: str = "doc_id", text: str = "text", source:
     by_chars = limits.where("unit = 'chars'").select("src", F.col("n").alias("chars"), F.lit(True).alias("at_chars"))
     by_dots = limits.where("unit = 'dots'").select("src", F.col("n").alias("chars"), F.lit(True).alias("dotted"), F.lit(True).alias("at_dots"))
     by_bytes = limits.where("unit = 'bytes'").select("src", F.col("n").alias("bytes"), F.lit(True).alias("at_bytes"))
-    judged = join_sized(texts.drop("ends", "sentences"), known_ends, ["tail"], "left")
+    judged = texts.select("id", "tail", "closing", "stopped", "layout", "broken", "body_id", "fragment_id", (F.length("body") >= PREFIX).alias("long"), (F.length("fragment") > 0).alias("open"))
+    judged = join_sized(judged, known_ends, ["tail"], "left")
     judged = join_sized(judged, known_closings, ["closing"], "left")
     no = lambda c: F.coalesce(F.col(c), F.lit(False))
     judged = judged.withColumn("settled", F.col("stopped") | F.col("layout") | no("closed"))
-    judged = join_sized(judged.join(copies, "body", "left"), telling, ["id"], "left", row_bytes=64)
+    judged = join_sized(judged.join(copies, "body_id", "left"), telling, ["id"], "left", row_bytes=64)
     # texts that end with a stop share the empty fragment, which has no copy
-    flags = ["id", "broken", "settled", no("ended").alias("ended"), F.col("on").isNotNull().alias("copied"), ((F.length("body") >= PREFIX) & (F.coalesce(F.col("on") == "inside", F.lit(False)) | no("telling"))).alias("longer")]
-    some = judged.where("fragment <> ''").join(fragments, "fragment", "left").select(*flags, no("begun").alias("begun"), no("unfinished").alias("unfinished"))
-    none = judged.where("fragment = ''").select(*flags, F.lit(False).alias("begun"), F.lit(False).alias("unfinished"))
+    flags = ["id", "broken", "settled", no("ended").alias("ended"), F.col("on").isNotNull().alias("copied"), (F.col("long") & (F.coalesce(F.col("on") == "inside", F.lit(False)) | no("telling"))).alias("longer")]
+    some = judged.where("open").join(fragments, "fragment_id", "left").select(*flags, no("begun").alias("begun"), no("unfinished").alias("unfinished"))
+    none = judged.where("NOT open").select(*flags, F.lit(False).alias("begun"), F.lit(False).alias("unfinished"))
     judged = cut(some.unionByName(none).select(
         "id", "broken", "settled", "ended", (F.col("longer") | F.col("unfinished")).alias("longer"), (F.col("copied") | F.col("begun")).alias("prefix")))
+    free(texts, known_ends, known_closings, copies, telling, begun)
     out = full.withColumn("id", F.xxhash64("text")).withColumn("src", F.coalesce("source", F.lit(""))).withColumn("chars", F.length("text")).withColumn("bytes", F.octet_length("text")).withColumn("dotted", dotted)
     out = join_sized(out, by_dots, ["src", "chars", "dotted"], "left", row_bytes=64)
     out = join_sized(out, by_chars, ["src", "chars"], "left", row_bytes=64)
