@@ -85,12 +85,16 @@ def _cut_file(df: DataFrame) -> str | None:
 
 
 def bytes_of(df: DataFrame, row_bytes: int) -> int:
-    """Bytes of a frame: those of its files if it was ``cut``, else its rows times a size that is given."""
-    file = _cut_file(df)
-    if file is None:
-        return df.count() * row_bytes
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
-    return path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    """Bytes of a frame's values, measured over all rows, ``row_bytes`` a row at least."""
+    def size(name: str, kind: str) -> Column:
+        if kind in ("string", "binary"):
+            return F.coalesce(F.octet_length(name), F.lit(0))
+        if kind.startswith(("array", "struct", "map")):
+            return F.coalesce(F.octet_length(F.to_json(F.struct(name))), F.lit(0))
+        return F.lit(8)
+
+    each = sum((size(n, k) for n, k in df.dtypes), F.lit(16))
+    return df.agg(F.coalesce(F.sum(F.greatest(each, F.lit(row_bytes))), F.lit(0)).cast("long")).first()[0]
 
 
 def join_sized(left: DataFrame, right: DataFrame, on: list[str], how: str, row_bytes: int = 200) -> DataFrame:
