@@ -23,7 +23,7 @@ def test_join_sized(spark, monkeypatch, limit, rows, how):
 
 def test_bytes_are_measured(spark):
     long = spark.range(100).select(F.repeat(F.lit("x"), 10_000).alias("t"), F.array(F.repeat(F.lit("y"), 1000)).alias("a"))
-    assert runtime.bytes_of(long, 1) > 1_100_000 and runtime.bytes_of(long.where("false"), 1) == 0 and runtime.bytes_of(spark.range(100).toDF("v"), 7) == 700
+    assert runtime.bytes_of(long, 1) > 1_100_000 and runtime.bytes_of(long.where("false"), 1) == 0 and runtime.bytes_of(spark.range(100).toDF("v"), 70) == 7000
 
 
 def test_numbers(spark):
