@@ -19,10 +19,11 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,10 +42,12 @@ SEEN, SURE, DOUBT, BACKED = 20, 0.9, 0.04, 0.2
 RECURS = 3
 #: A character whose occurrences are nearly all misread is one wherever it stands.
 ALWAYS = 0.5
-#: Words a trie holds at most, queries against it in one task, bits of the filter sent to all tasks.
-SHARD, QUERIES, BITS = 200_000, 20_000, 1 << 23
-#: Keys tested at once, so that memory follows neither the batch nor the longest line.
-GATHERED = 50_000
+#: Words a trie holds at most, queries against it in one task.
+SHARD, QUERIES = 200_000, 20_000
+#: Bits of the filters sent to all tasks: so many for each key, between the least and the most (16 MB).
+BITS_A_KEY, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 27
+#: Signs taken together, places tested at once: so memory follows neither the batch nor the longest line.
+SIGNS, PLACES = 1_000_000, 200_000
 #: Pages whose paragraphs are numbered in one task.
 BLOCK = 1000
 #: Edit distance of the automaton; longest changed stretch on either side.
@@ -149,37 +152,81 @@ def words_of(plain: str, open_: bool, after: bool, nxt: str | None) -> Iterator[
         yield (joined[0] + joined[1]).lower(), -1
 
 
-def surroundings(plain: str) -> Iterator[tuple[int, str, str, str]]:
-    """(place, kind, surrounding, ideograph): three characters to the left, to the right, two on both sides."""
-    if not _HAN.search(plain):
-        return
-    at = [i for i, c in enumerate(plain) if not c.isspace()]
-    s = "".join("0" if plain[i].isdigit() else plain[i] for i in at)
-    p = "^^^" + s + "$$$"
-    for k, i in enumerate(at):
-        c = p[k + 3]
-        if "一" <= c <= "鿿":
-            yield i, "L", p[k : k + 3], c
-            yield i, "R", p[k + 4 : k + 7], c
-            yield i, "M", p[k + 1 : k + 3] + p[k + 4 : k + 6], c
+@lru_cache(maxsize=1)
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """Which characters of the basic plane are blank, and which are digits."""
+    every = [chr(i) for i in range(0x10000)]
+    return np.array([c.isspace() for c in every]), np.array([c.isdigit() for c in every])
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def surroundings(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]]:
+    """(text number, place, keys, ideograph) of every ideograph, in lots of at most PLACES.
+
+    The keys are three characters to the left, three to the right, two on both sides, each packed in
+    64 bits; blanks are passed over, digits count as 0, "^" and "$" stand beyond the ends, characters
+    outside the basic plane count as one.
+    """
+    blank, digit = _classes()
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    code = np.minimum(code, 0xFFFF).astype(np.int64)
+    sizes = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
+    text = np.repeat(np.arange(len(texts)), sizes)
+    at = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    kept = ~blank[code]
+    code, text, at = np.where(digit[code], 48, code)[kept], text[kept], at[kept]
+    han = np.flatnonzero((code >= 0x4E00) & (code <= 0x9FFF))
+    for first in range(0, len(han), PLACES):
+        i = han[first : first + PLACES]
+
+        def beside(k: int) -> np.ndarray:
+            j = i + k
+            near = np.clip(j, 0, len(code) - 1)
+            return np.where((j == near) & (text[near] == text[i]), code[near], 0x24 if k > 0 else 0x5E).astype(np.uint64)
+
+        a, b, c, d, e, f = (beside(k) for k in (-3, -2, -1, 1, 2, 3))
+        s16, s32, s48 = (np.uint64(n) for n in (16, 32, 48))
+        keys = [(a << s32) | (b << s16) | c, (d << s32) | (e << s16) | f, (b << s48) | (c << s32) | (d << s16) | e]
+        yield text[i], at[i], keys, code[i]
+
+
+def _lots(values: pd.Series) -> Iterator[tuple[int, list[str]]]:
+    """Neighbouring texts with together at most SIGNS characters, or one longer one, and the number of the first."""
+    lot, size, first = [], 0, 0
+    for n, t in enumerate(values):
+        if lot and size + len(t) > SIGNS:
+            yield first, lot
+            lot, size, first = [], 0, n
+        lot.append(t)
+        size += len(t)
+    if lot:
+        yield first, lot
+
+
+def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         seen: Counter = Counter()
         for plain, open_, after, nxt, furniture in zip(batch["plain"], batch["open"], batch["after"], batch["next"], batch["furniture"]):
-            if not plain:
-                continue
             for word, at in words_of(plain, open_, after, nxt):
-                seen["W" if at >= 0 else "J", word, ""] += 1  # broken words are no evidence of how a word is written
+                seen["W" if at >= 0 else "J", word] += 1  # broken words are no evidence of how a word is written
             if not furniture:
                 for m in _COMPOUND.finditer(plain):
-                    seen["C", m[0].lower(), ""] += 1
-            for _, kind, key, c in surroundings(plain):
-                seen[kind, key, c] += 1
-                if kind == "M":
-                    seen["H", c, ""] += 1
-        yield pd.DataFrame([(k, key, c, n) for (k, key, c), n in seen.items()], columns=["kind", "key", "c", "n"])
+                    seen["C", m[0].lower()] += 1
+        yield pd.DataFrame([(k, key, n) for (k, key), n in seen.items()], columns=["kind", "key", "n"])
+
+
+def _count_signs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(kind, key, c, n): kind 0 for the left, 1 for the right, 2 for both sides."""
+    for batch in batches:
+        for _, lot in _lots(batch["plain"]):
+            for _, _, keys, c in surroundings(lot):
+                for kind, key in enumerate(keys):
+                    seen = pd.DataFrame({"key": key.view(np.int64), "c": c.astype(np.int32)}).groupby(["key", "c"], sort=False).size().reset_index(name="n")
+                    yield pd.DataFrame({"kind": np.int32(kind), "key": seen["key"], "c": seen["c"], "n": seen["n"]})
+
+
+def sign(c: str) -> Column:
+    """The character of a code point of the basic plane."""
+    return F.decode(F.unhex(F.lpad(F.hex(F.col(c).cast("long")), 4, "0")), "UTF-16BE")
 
 
 def differences(wrong: str, right: str) -> list[str] | None:
@@ -207,11 +254,12 @@ def _retrieve(key: tuple, words: pd.DataFrame, known: pd.DataFrame) -> pd.DataFr
     trie = Trie(zip(known["word"], known["n"]))
     out = []
     for word, n in zip(words["word"], words["n"]):
-        for right, m in trie.within(word, DISTANCE if len(word) > 4 else 1):
-            least = ODDER if _ODD.search(word) else RARER
-            if m >= least * n and right != word and (d := differences(word, right)):
-                out.append((word, right, d, int(m)))
-    return pd.DataFrame(out, columns=["word", "right", "changes", "m"])
+        least = ODDER if _ODD.search(word) else RARER
+        for right, m in trie.within(word, DISTANCE):
+            # in a short word two changes must be one stretch
+            if m >= least * n and right != word and (d := differences(word, right)) and (len(word) > 4 or len(d) == 1):
+                out.append((word, right, d, len(d[0]) if len(word) <= 4 else 0, int(m)))
+    return pd.DataFrame(out, columns=["word", "right", "changes", "wide", "m"])
 
 
 def skeleton(word: str, learned: list[list[str]]) -> str:
@@ -232,8 +280,8 @@ def misread_words(counts: DataFrame) -> DataFrame:
     left = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("part", F.pmod(F.xxhash64("word"), F.lit(parts)))
     right = known.withColumn("shard", F.pmod(F.xxhash64("word"), F.lit(shards)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
     near = cut(left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInPandas(
-        _retrieve, "word string, right string, changes array<string>, m long"))
-    best = cut(near.groupBy("word").agg(F.max_by(F.struct("right", "changes"), F.struct(-F.size("changes"), "m", "right")).alias("b")).select("word", "b.*"))
+        _retrieve, "word string, right string, changes array<string>, wide int, m long"))
+    best = cut(near.groupBy("word").agg(F.max_by(F.struct("right", "changes"), F.struct(-F.size("changes"), -F.col("wide"), "m", "right")).alias("b")).select("word", "b.*"))
     single = best.where(F.size("changes") == 1).select(F.col("changes")[0].alias("change"))
     recurring = single.groupBy("change").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= RECURS).select("change", F.lit(1).alias("r"))
     strange = F.col("change").rlike(">.*[0-9!|$]")  # a digit or sign in place of letters needs no second case
@@ -251,24 +299,34 @@ def misread_words(counts: DataFrame) -> DataFrame:
     return cut(told.unionByName(more.select("word", "right")))
 
 
-def _bits(keys: list[str]) -> np.ndarray:
-    return np.fromiter((zlib.crc32(k.encode()) & (BITS - 1) for k in keys), dtype=np.int64, count=len(keys))
+def _mixed(kind: int | np.ndarray, key: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Hash of a surrounding with its ideograph."""
+    x = key.astype(np.uint64) ^ (c.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (np.asarray(kind).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ (x >> np.uint64(33))
 
 
-def bit_filter(keyed: DataFrame) -> np.ndarray:
-    """A filter over the strings of ``k``; BITS bits whatever their number, so it may be sent to all tasks."""
-    def place(k: pd.Series) -> pd.Series:
-        return pd.Series(_bits(list(k)))
+def _hashed(keys: list[str]) -> np.ndarray:
+    return np.fromiter((zlib.crc32(k.encode()) for k in keys), dtype=np.uint64, count=len(keys))
 
-    place.__annotations__ = {"k": pd.Series, "return": pd.Series}
-    at = F.pandas_udf(place, "long")("k")
-    words = keyed.select(at.alias("b")).select((F.col("b") / 32).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 32).cast("int")).alias("m"))
-    rows = words.groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()  # at most BITS / 32 rows
-    out = np.zeros(BITS // 32, dtype=np.uint32)
+
+def bit_filter(hashed: DataFrame) -> np.ndarray:
+    """A filter over the hashes of ``h``: its size follows their number up to MOST_BITS, so it may be sent to all tasks."""
+    n = hashed.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_KEY * n).bit_length()))
+    words = hashed.select(F.expr(f"h & {bits - 1}L").alias("b")).select(F.shiftright("b", 5).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 32).cast("int")).alias("m"))
+    rows = words.groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()  # at most MOST_BITS / 32 rows
+    out = np.zeros(bits // 32, dtype=np.uint32)
     out[rows["w"].to_numpy(dtype=np.int64)] = rows["m"].to_numpy(dtype=np.int64).astype(np.uint32)
     return out
 
 
+def held(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes the filter holds."""
+    b = (hashes & np.uint64(len(table) * 32 - 1)).astype(np.int64)
+    return ((table[b >> 5] >> (b & 31).astype(np.uint32)) & 1).astype(bool)
+
+
 def bad_numbers(plain: str) -> list[tuple[int, str]]:
     """(place, right text) of numbers with letters in them, and of codes whose check character is wrong."""
     out = []
@@ -295,68 +353,68 @@ def bad_numbers(plain: str) -> list[tuple[int, str]]:
 
 
 def misread(laid: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(counts, findings): findings are (line_id, at, was, right) of each misread word, number or ideograph."""
+    """(word counts, findings): findings are (line_id, at, was, right) of each misread word, number or ideograph."""
     used = laid.where("length(plain) > 0").select("line_id", "plain", "open", "after", "next", "furniture")
-    counts = cut(used.mapInPandas(_count, "kind string, key string, c string, n long").groupBy("kind", "key", "c").agg(F.sum("n").alias("n")))
+    latin, ideographs = used.where(F.col("plain").rlike("[A-Za-zÀ-ɏ]")), used.where(F.col("plain").rlike("[一-鿿]")).select("line_id", "plain")
+    counts = cut(latin.mapInPandas(_count_words, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    around = cut(ideographs.select("plain").mapInPandas(_count_signs, "kind int, key long, c int, n long").groupBy("kind", "key", "c").agg(F.sum("n").alias("n")))
     slips = misread_words(counts)
-    around = counts.where("kind IN ('L', 'R', 'M')")
     told = around.groupBy("kind", "key").agg(F.sum("n").alias("total"), F.max_by("c", F.struct("n", "c")).alias("top"), F.max("n").alias("most"))
     told = told.where((F.col("total") >= SEEN) & (F.col("most") >= F.col("total") * SURE))
     joined = around.join(told, ["kind", "key"])
     doubted = cut(joined.where((F.col("c") != F.col("top")) & (F.col("n") <= F.greatest(F.lit(1.0), F.col("total") * DOUBT))).select("kind", "key", "c", "top"))
-    keys = doubted.select(F.concat("kind", "key", F.lit("|"), "c").alias("k")).unionByName(slips.select(F.concat(F.lit("W"), "word").alias("k")))
-    bits = used.sparkSession.sparkContext.broadcast(bit_filter(keys))
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = bits.value
+    def mix(kind: pd.Series, key: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series(_mixed(kind.to_numpy(), key.to_numpy().view(np.uint64), c.to_numpy()).view(np.int64))
 
-        def hit(keys: list[str]) -> np.ndarray:
-            b = _bits(keys)
-            return (table[b >> 5] >> (b & 31).astype(np.uint32)) & 1
+    mix.__annotations__ = {k: pd.Series for k in ("kind", "key", "c", "return")}
 
-        for batch in batches:
-            asked: list[str] = []
-            where: list[tuple] = []
-            out: list[tuple] = []
-
-            def settle() -> None:
-                """Test what was gathered; a place keeps all its surroundings if one of them is doubted."""
-                if asked:
-                    marks = hit(asked)
-                    spots = {w[:2] for w, h in zip(where, marks) if h and w[2] != "W"}
-                    out.extend((*w, "") for w, h in zip(where, marks) if (h if w[2] == "W" else w[:2] in spots))
-                    asked.clear()
-                    where.clear()
+    def crc(word: pd.Series) -> pd.Series:
+        return pd.Series(_hashed(list(word)).astype(np.int64))
 
+    crc.__annotations__ = {"word": pd.Series, "return": pd.Series}
+    sc = used.sparkSession.sparkContext
+    sign_bits = sc.broadcast(bit_filter(doubted.select(F.pandas_udf(mix, "long")("kind", "key", "c").alias("h"))))
+    word_bits = sc.broadcast(bit_filter(slips.select(F.pandas_udf(crc, "long")("word").alias("h"))))
+
+    def find_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out, asked = [], []
             for line, plain, open_, after, nxt in zip(batch["line_id"], batch["plain"], batch["open"], batch["after"], batch["next"]):
-                out += [(line, at, "N", "", "", right) for at, right in bad_numbers(plain)]
-                for word, at in words_of(plain, open_, after, nxt):
-                    asked.append("W" + word)
-                    where.append((line, at, "W", word, ""))
-                for at, kind, key, c in surroundings(plain):
-                    if kind == "L" and len(asked) > GATHERED:
-                        settle()
-                    asked.append(f"{kind}{key}|{c}")
-                    where.append((line, at, kind, key, c))
-            settle()
-            yield pd.DataFrame(out, columns=["line_id", "at", "kind", "key", "c", "right"])
-
-    hits = cut(used.mapInPandas(find, "line_id long, at int, kind string, key string, c string, right string"))
-    numbers = hits.where("kind = 'N'").select("line_id", "at", F.lit("").alias("was"), "right")
-    by_word = hits.where("kind = 'W'").select("line_id", "at", F.col("key").alias("was")).join(slips.withColumnsRenamed({"word": "was"}), "was").select("line_id", "at", "was", "right")
+                out += [(line, at, "", right) for at, right in bad_numbers(plain)]
+                asked += [(line, at, word, None) for word, at in words_of(plain, open_, after, nxt)]
+            marks = held(word_bits.value, _hashed([a[2] for a in asked]))
+            out += [a for a, h in zip(asked, marks) if h]
+            yield pd.DataFrame(out, columns=["line_id", "at", "was", "right"])
+
+    def find_signs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A place keeps all its surroundings if one of them is doubted."""
+        for batch in batches:
+            lines = batch["line_id"].to_numpy()
+            for first, lot in _lots(batch["plain"]):
+                for text, at, keys, c in surroundings(lot):
+                    hit = np.zeros(len(c), dtype=bool)
+                    for kind, key in enumerate(keys):
+                        hit |= held(sign_bits.value, _mixed(kind, key, c))
+                    for kind, key in enumerate(keys):
+                        yield pd.DataFrame({"line_id": lines[first + text[hit]], "at": at[hit].astype(np.int32), "kind": np.int32(kind), "key": key[hit].view(np.int64), "c": c[hit].astype(np.int32)})
+
+    hits = cut(used.where(F.col("plain").rlike("[A-Za-zÀ-ɏ0-9]")).mapInPandas(find_words, "line_id long, at int, was string, right string"))
+    numbers = hits.where("right IS NOT NULL")
+    by_word = hits.where("right IS NULL").drop("right").join(slips.withColumnsRenamed({"word": "was"}), "was").select("line_id", "at", "was", "right")
     # a place is misread if a surrounding tells another character and none backs the one that stands there
-    spots = hits.where("kind IN ('L', 'R', 'M')").select("line_id", "at", "kind", "key", "c")
+    spots = cut(ideographs.mapInPandas(find_signs, "line_id long, at int, kind int, key long, c int"))
     shares = around.join(spots.select("kind", "key").distinct(), ["kind", "key"], "left_semi").withColumn(
         "total", F.sum("n").over(Window.partitionBy("kind", "key")))
     backed = shares.where((F.col("total") >= SEEN) & (F.col("n") >= F.col("total") * BACKED)).select("kind", "key", "c", F.lit(1).alias("backed"))
     spots = spots.join(doubted, ["kind", "key", "c"], "left").join(backed, ["kind", "key", "c"], "left")
     spots = cut(spots.groupBy("line_id", "at", "c").agg(
         F.max("backed").alias("backed"), F.mode("top", True).alias("top"),
-        F.max(F.when(F.col("top").isNotNull(), F.concat("kind", "key"))).alias("by")).where("backed IS NULL AND top IS NOT NULL"))
+        F.max(F.when(F.col("top").isNotNull(), F.struct("kind", "key"))).alias("by")).where("backed IS NULL AND top IS NOT NULL"))
     pairs = spots.groupBy("top", "c").agg(F.count_distinct("by").alias("k")).where(F.col("k") >= RECURS)
-    sure = cut(spots.join(pairs, ["top", "c"]).select("line_id", "at", F.col("c").alias("was"), F.col("top").alias("right")))
+    sure = cut(spots.join(pairs, ["top", "c"]).select("line_id", "at", sign("c").alias("was"), sign("top").alias("right")))
     always = sure.groupBy("was").agg(F.count(F.lit(1)).alias("bad"), F.mode("right", True).alias("right"))
-    always = always.join(counts.where("kind = 'H'").select(F.col("key").alias("was"), "n"), "was").where((F.col("bad") >= ALWAYS * F.col("n")) & (F.col("n") >= KNOWN))
+    always = always.join(around.where("kind = 2").groupBy("c").agg(F.sum("n").alias("n")).select(sign("c").alias("was"), "n"), "was").where((F.col("bad") >= ALWAYS * F.col("n")) & (F.col("n") >= KNOWN))
     fixed = {r["was"]: r["right"] for r in always.collect()}  # at most as many as there are ideographs
     more = None
     if fixed:

@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 
 from paperloom.llm import pages as g
@@ -99,3 +100,46 @@ def test_paragraphs(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert g.noise(df).count() == 0 and g.paragraphs(df).count() == 0
+
+
+def test_surroundings_by_brute_force(monkeypatch):
+    """Keys of every ideograph against plain slices; lots of any size give the same."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("税号 1٣a发票\U00020000。") for _ in range(rng.randint(0, 30))) for _ in range(40)] + ["", "号", "号" * 500]
+
+    def pack(chars):
+        out = 0
+        for c in chars:
+            out = out << 16 | min(ord(c), 0xFFFF)
+        return out
+
+    want = []
+    for n, t in enumerate(texts):
+        at = [i for i, c in enumerate(t) if not c.isspace()]
+        s = "^^^" + "".join("0" if t[i].isdigit() else t[i] for i in at) + "$$$"
+        want += [(n, i, pack(s[k : k + 3]), pack(s[k + 4 : k + 7]), pack(s[k + 1 : k + 3] + s[k + 4 : k + 6]), ord(t[i])) for k, i in enumerate(at) if "一" <= t[i] <= "鿿"]
+    for places, signs in ((7, 50), (10_000, 10_000), (3, 1)):
+        monkeypatch.setattr(g, "PLACES", places)
+        monkeypatch.setattr(g, "SIGNS", signs)
+        got = []
+        for first, lot in g._lots(pd.Series(texts)):
+            for text, at, keys, c in g.surroundings(lot):
+                got += [(first + int(n), int(i), *(int(k[j]) for k in keys), int(c[j])) for j, (n, i) in enumerate(zip(text, at))]
+        assert sorted(got) == sorted(want)
+
+
+def test_filter_holds_every_key(spark):
+    keys = [f"word{i}" for i in range(3000)]
+    hashes = g._hashed(keys)
+    table = g.bit_filter(spark.createDataFrame([(int(h),) for h in hashes], "h long"))
+    assert g.held(table, hashes).all()
+    others = g._hashed([f"other{i}" for i in range(3000)])
+    assert g.held(table, others).mean() < 0.15
+
+
+def test_short_words_with_two_letters_for_one():
+
+
+    known = pd.DataFrame({"word": ["valid", "date", "have"], "n": [900, 800, 5000]})
+    got = g._retrieve((0, 0), pd.DataFrame({"word": ["vahd", "dafe"], "n": [2, 2]}), known)
+    assert {(r.word, r.right) for r in got.itertuples()} == {("vahd", "valid"), ("dafe", "date")}
