@@ -19,7 +19,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from paperloom.functions.checksum import ALPHABET, WEIGHTS
 from paperloom.llm.canon import canonical, canonical_udf, per_distinct
 from paperloom.llm.trie import Trie
-from paperloom.runtime import cut, join_sized
+from paperloom.runtime import cut, free, join_sized
 
 #: Heights of the head and foot zones; height of furniture against the scan's usual line.
 HEAD, FOOT, SMALL = 0.95, 0.045, 0.85
@@ -48,6 +48,8 @@ SHARD, QUERIES = 200_000, 20_000
 BITS_A_KEY, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 27
 #: Signs taken together, places tested at once: so memory follows neither the batch nor the longest line.
 SIGNS, PLACES = 1_000_000, 200_000
+#: Signs that are looked for one by one.
+FEW = 64
 #: Pages whose paragraphs are numbered in one task.
 BLOCK = 1000
 #: Edit distance of the automaton; longest changed stretch on either side.
@@ -357,12 +359,16 @@ def misread(laid: DataFrame) -> tuple[DataFrame, DataFrame]:
     used = laid.where("length(plain) > 0").select("line_id", "plain", "open", "after", "next", "furniture")
     latin, ideographs = used.where(F.col("plain").rlike("[A-Za-zÀ-ɏ]")), used.where(F.col("plain").rlike("[一-鿿]")).select("line_id", "plain")
     counts = cut(latin.mapInPandas(_count_words, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    around = cut(ideographs.select("plain").mapInPandas(_count_signs, "kind int, key long, c int, n long").groupBy("kind", "key", "c").agg(F.sum("n").alias("n")))
     slips = misread_words(counts)
-    told = around.groupBy("kind", "key").agg(F.sum("n").alias("total"), F.max_by("c", F.struct("n", "c")).alias("top"), F.max("n").alias("most"))
-    told = told.where((F.col("total") >= SEEN) & (F.col("most") >= F.col("total") * SURE))
-    joined = around.join(told, ["kind", "key"])
-    doubted = cut(joined.where((F.col("c") != F.col("top")) & (F.col("n") <= F.greatest(F.lit(1.0), F.col("total") * DOUBT))).select("kind", "key", "c", "top"))
+    around = ideographs.select("plain").mapInPandas(_count_signs, "kind int, key long, c int, n long").groupBy("kind", "key", "c").agg(F.sum("n").alias("n"))
+    # a surrounding has no more entries than there are ideographs; only those seen often say something
+    told = around.groupBy("kind", "key").agg(F.sum("n").alias("total"), F.max(F.struct("n", "c")).alias("best"), F.collect_list(F.struct("c", "n")).alias("cs"))
+    told = told.where(F.col("total") >= SEEN).withColumn("top", F.when(F.col("best.n") >= F.col("total") * SURE, F.col("best.c")))
+    rare = lambda x: F.col("top").isNotNull() & (x["c"] != F.col("top")) & (x["n"] <= F.greatest(F.lit(1.0), F.col("total") * DOUBT))
+    backing = lambda x: x["n"] >= F.col("total") * BACKED
+    told = told.select("kind", "key", "top", F.explode(F.filter(F.transform("cs", lambda x: F.struct(x["c"].alias("c"), rare(x).alias("rare"), backing(x).alias("backing"))), lambda x: x["rare"] | x["backing"])).alias("x"))
+    told = cut(told.select("kind", "key", "x.c", F.when(F.col("x.rare"), F.col("top")).alias("top"), F.when(F.col("x.backing"), 1).alias("backed")))
+    doubted = told.where("top IS NOT NULL")
 
     def mix(kind: pd.Series, key: pd.Series, c: pd.Series) -> pd.Series:
         return pd.Series(_mixed(kind.to_numpy(), key.to_numpy().view(np.uint64), c.to_numpy()).view(np.int64))
@@ -388,11 +394,13 @@ def misread(laid: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield pd.DataFrame(out, columns=["line_id", "at", "was", "right"])
 
     def find_signs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A place keeps all its surroundings if one of them is doubted."""
+        """A place keeps all its surroundings if one of them is doubted; kind 3 counts the ideographs."""
         for batch in batches:
             lines = batch["line_id"].to_numpy()
             for first, lot in _lots(batch["plain"]):
                 for text, at, keys, c in surroundings(lot):
+                    signs, n = np.unique(c, return_counts=True)
+                    yield pd.DataFrame({"line_id": np.int64(-1), "at": n.astype(np.int32), "kind": np.int32(3), "key": np.int64(0), "c": signs.astype(np.int32)})
                     hit = np.zeros(len(c), dtype=bool)
                     for kind, key in enumerate(keys):
                         hit |= held(sign_bits.value, _mixed(kind, key, c))
@@ -403,27 +411,28 @@ def misread(laid: DataFrame) -> tuple[DataFrame, DataFrame]:
     numbers = hits.where("right IS NOT NULL")
     by_word = hits.where("right IS NULL").drop("right").join(slips.withColumnsRenamed({"word": "was"}), "was").select("line_id", "at", "was", "right")
     # a place is misread if a surrounding tells another character and none backs the one that stands there
-    spots = cut(ideographs.mapInPandas(find_signs, "line_id long, at int, kind int, key long, c int"))
-    shares = around.join(spots.select("kind", "key").distinct(), ["kind", "key"], "left_semi").withColumn(
-        "total", F.sum("n").over(Window.partitionBy("kind", "key")))
-    backed = shares.where((F.col("total") >= SEEN) & (F.col("n") >= F.col("total") * BACKED)).select("kind", "key", "c", F.lit(1).alias("backed"))
-    spots = spots.join(doubted, ["kind", "key", "c"], "left").join(backed, ["kind", "key", "c"], "left")
+    seen = cut(ideographs.mapInPandas(find_signs, "line_id long, at int, kind int, key long, c int"))
+    spots = seen.where("kind < 3").join(told, ["kind", "key", "c"], "left")
     spots = cut(spots.groupBy("line_id", "at", "c").agg(
         F.max("backed").alias("backed"), F.mode("top", True).alias("top"),
         F.max(F.when(F.col("top").isNotNull(), F.struct("kind", "key"))).alias("by")).where("backed IS NULL AND top IS NOT NULL"))
     pairs = spots.groupBy("top", "c").agg(F.count_distinct("by").alias("k")).where(F.col("k") >= RECURS)
     sure = cut(spots.join(pairs, ["top", "c"]).select("line_id", "at", sign("c").alias("was"), sign("top").alias("right")))
     always = sure.groupBy("was").agg(F.count(F.lit(1)).alias("bad"), F.mode("right", True).alias("right"))
-    always = always.join(around.where("kind = 2").groupBy("c").agg(F.sum("n").alias("n")).select(sign("c").alias("was"), "n"), "was").where((F.col("bad") >= ALWAYS * F.col("n")) & (F.col("n") >= KNOWN))
+    always = always.join(seen.where("kind = 3").groupBy("c").agg(F.sum("at").alias("n")).select(sign("c").alias("was"), "n"), "was").where((F.col("bad") >= ALWAYS * F.col("n")) & (F.col("n") >= KNOWN))
     fixed = {r["was"]: r["right"] for r in always.collect()}  # at most as many as there are ideographs
     more = None
     if fixed:
         signs = F.regexp_extract_all("plain", F.lit("([" + "".join(sorted(fixed)) + "])"), 1)
         table = F.create_map(*(F.lit(x) for pair in sorted(fixed.items()) for x in pair))
-        more = used.select("line_id", F.explode(signs).alias("was")).select("line_id", F.lit(-2).alias("at"), "was", table[F.col("was")].alias("right"))
+        # one search for each sign is faster than a pattern over all of a line, as long as there are few
+        some = reduce(lambda a, b: a | b, (F.col("plain").contains(c) for c in sorted(fixed))) if len(fixed) <= FEW else F.lit(True)
+        more = ideographs.where(some).select("line_id", F.explode(signs).alias("was")).select("line_id", F.lit(-2).alias("at"), "was", table[F.col("was")].alias("right"))
         more = more.join(sure.select("line_id", "was").distinct(), ["line_id", "was"], "left_anti")
     found = numbers.unionByName(by_word).unionByName(sure)
-    return counts, cut(found.unionByName(more.select(*found.columns)) if more is not None else found)
+    found = cut(found.unionByName(more.select(*found.columns)) if more is not None else found)
+    free(told, seen, spots, sure, hits)
+    return counts, found
 
 
 def hyphens(laid: DataFrame, counts: DataFrame) -> DataFrame:
