@@ -237,27 +237,31 @@ def _reverse(code: str) -> Column:
 
 
 def _match(asked: DataFrame, known: DataFrame) -> DataFrame:
-    """(name, code) of the open names for which one party alone is the most alike."""
+    """(name, code) of the asked names for which one party alone is the most alike.
+
+    A name is never compared with itself. A suffix with more than COMMON parties is refined with the
+    place, with the trade, and with both, and each of these keys is left out only if it still has more;
+    parties are counted exactly. The whole core is a key that is never left out. Names meet by number of
+    their rows; their parts are joined to the distinct pairs only.
+    """
     def keys(parts: pd.DataFrame) -> pd.Series:
         return pd.Series([_suffixes(p) for p in parts.to_dict("records")], index=parts.index)
 
     keys.__annotations__ = {"parts": pd.DataFrame, "return": pd.Series}
     suffixes = F.pandas_udf(keys, T.ArrayType(T.StringType()))
-    index = cut(known.select("code", "parts").distinct().withColumn("suffix", F.explode(suffixes("parts"))))
-    wanted = cut(asked.withColumn("suffix", F.explode(suffixes("parts"))).select("name", "parts", "suffix"))
-    refined = lambda df: df.withColumn("key", F.explode(F.array(
-        F.struct(F.lit(0).alias("level"), F.col("suffix").alias("key")),
-        F.struct(F.lit(1).alias("level"), F.concat_ws("|", "suffix", F.lit("p"), "parts.place").alias("key")),
-        F.struct(F.lit(1).alias("level"), F.concat_ws("|", "suffix", F.lit("t"), "parts.trade").alias("key")),
-    ))).select(*df.columns, "key.level", F.col("key.key").alias("key"))
-    counts = refined(index).groupBy("level", "key").agg(F.approx_count_distinct("code").alias("parties"))
-    usable = cut(counts.where(F.col("parties") <= COMMON).select("key"))
-    whole = lambda df: df.withColumn("key", F.concat_ws("|", F.lit("="), "parts.core")).select(*df.columns, "key")
-    left = refined(index).join(usable, "key", "left_semi").select("key", "code", F.col("parts").alias("b"))
-    # the whole core is a key that is never discarded
-    left = left.unionByName(whole(index.select("code", "parts").distinct()).select("key", "code", F.col("parts").alias("b")))
-    right = refined(wanted).select("key", "name", F.col("parts").alias("a")).unionByName(whole(asked.select("name", "parts")).select("key", "name", F.col("parts").alias("a")))
-    pairs = right.join(left, "key").select("name", "code", "a", "b").distinct()
+    place, trade = F.concat(F.lit("|p"), "parts.place"), F.concat(F.lit("|t"), "parts.trade")
+    refined = lambda x: F.array(x, F.concat(x, place), F.concat(x, trade), F.concat(x, place, trade))
+    whole = F.concat(F.lit("="), "parts.core")
+    # narrower keys come behind wider ones; 0 marks the whole core
+    narrow = lambda df: df.withColumn("suffix", F.explode(suffixes("parts"))).select(*df.columns, F.posexplode(refined(F.col("suffix"))).alias("level", "key"))
+    both = lambda df: narrow(df).select(*df.columns, (F.col("level") + 1).alias("level"), "key").unionByName(df.select("*", F.lit(0).alias("level"), whole.alias("key")))
+    index = cut(both(known.select("name", "code", "parts")).select("level", "key", "name", "code").distinct())
+    usable = index.where("level > 0").select("key", "code").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("parties")).where(F.col("parties") <= COMMON).select("key")
+    left = index.where("level > 0").join(usable, "key", "left_semi").unionByName(index.where("level = 0")).select("key", F.col("name").alias("source"), "code")
+    right = both(asked.select("name", "parts")).select("key", "name")
+    met = right.join(left, "key").where("name <> source").select("name", "source", "code").distinct()
+    parts = lambda df, name, as_: df.select(F.col("name").alias(name), F.col("parts").alias(as_))
+    pairs = met.join(parts(asked, "name", "a"), "name").join(parts(known, "source", "b"), "source")
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
         return pd.Series([score(x, y) for x, y in zip(a.to_dict("records"), b.to_dict("records"))], index=a.index, dtype="float64")

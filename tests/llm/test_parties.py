@@ -72,3 +72,15 @@ def test_empty(spark):
 def test_different_numbers_stay_apart(spark):
     pairs = [("长浦甲乙丙丁科技有限公司", CODES[0]), ("长浦甲乙丙戊科技有限公司", CODES[1]), ("x" * 5000, None)]
     assert p.linked_spellings(records(spark, pairs)).count() == 0
+
+
+def test_blocking_alone(spark):
+    """Names asked as if they had no number find their party by suffixes; none finds itself."""
+    places, trades = frozenset({"北城", "南城"}), frozenset({"信息技术", "机电设备"})
+    names = {"北城瑞丰恒信息技术有限公司": "A", "北城瑞丰恒信息技术公司": "A", "瑞丰恒信息技术(北城)有限公司": "A", "南城华庆朗机电设备有限公司": "B", "南城华庆郎机电设备有限公司": "B", "北城单独机电设备有限公司": "C"}
+    rows = [(n, p.take_apart(p.plain_name(n), places, trades), c) for n, c in names.items()]
+    df = spark.createDataFrame([(n, tuple(x[k] for k in ("place", "core", "trade", "branch")), c) for n, x, c in rows],
+                               "name string, parts struct<place:string,core:string,trade:string,branch:string>, code string")
+    got = {r["name"]: r["code"] for r in p._match(df.select("name", "parts"), df).collect()}
+    assert got == {n: c for n, c in names.items() if c != "C"}
+    assert p._match(df.where("false").select("name", "parts"), df).count() == 0
