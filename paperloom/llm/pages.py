@@ -360,14 +360,15 @@ def misread(laid: DataFrame) -> tuple[DataFrame, DataFrame]:
     latin, ideographs = used.where(F.col("plain").rlike("[A-Za-zÀ-ɏ]")), used.where(F.col("plain").rlike("[一-鿿]")).select("line_id", "plain")
     counts = cut(latin.mapInPandas(_count_words, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
     slips = misread_words(counts)
-    around = ideographs.select("plain").mapInPandas(_count_signs, "kind int, key long, c int, n long").groupBy("kind", "key", "c").agg(F.sum("n").alias("n"))
-    # a surrounding has no more entries than there are ideographs; only those seen often say something
-    told = around.groupBy("kind", "key").agg(F.sum("n").alias("total"), F.max(F.struct("n", "c")).alias("best"), F.collect_list(F.struct("c", "n")).alias("cs"))
-    told = told.where(F.col("total") >= SEEN).withColumn("top", F.when(F.col("best.n") >= F.col("total") * SURE, F.col("best.c")))
-    rare = lambda x: F.col("top").isNotNull() & (x["c"] != F.col("top")) & (x["n"] <= F.greatest(F.lit(1.0), F.col("total") * DOUBT))
-    backing = lambda x: x["n"] >= F.col("total") * BACKED
-    told = told.select("kind", "key", "top", F.explode(F.filter(F.transform("cs", lambda x: F.struct(x["c"].alias("c"), rare(x).alias("rare"), backing(x).alias("backing"))), lambda x: x["rare"] | x["backing"])).alias("x"))
-    told = cut(told.select("kind", "key", "x.c", F.when(F.col("x.rare"), F.col("top")).alias("top"), F.when(F.col("x.backing"), 1).alias("backed")))
+    around = cut(ideographs.select("plain").mapInPandas(_count_signs, "kind int, key long, c int, n long").groupBy("kind", "key", "c").agg(F.sum("n").alias("n")))
+    # only surroundings seen often say something; the most frequent sign is found as one number with its count
+    often = around.groupBy("kind", "key").agg(F.sum("n").alias("total"), F.max(F.col("n") * 65536 + F.col("c")).alias("best")).where(F.col("total") >= SEEN)
+    often = cut(often.select("kind", "key", "total", F.shiftright("best", 16).alias("most"), (F.col("best") % 65536).cast("int").alias("top")))
+    told = join_sized(around, often, ["kind", "key"], "inner", row_bytes=40)
+    rare = (F.col("most") >= F.col("total") * SURE) & (F.col("c") != F.col("top")) & (F.col("n") <= F.greatest(F.lit(1.0), F.col("total") * DOUBT))
+    backing = F.col("n") >= F.col("total") * BACKED
+    told = cut(told.where(rare | backing).select("kind", "key", "c", F.when(rare, F.col("top")).alias("top"), F.when(backing, 1).alias("backed")))
+    free(around, often)
     doubted = told.where("top IS NOT NULL")
 
     def mix(kind: pd.Series, key: pd.Series, c: pd.Series) -> pd.Series:

@@ -241,8 +241,8 @@ def _match(asked: DataFrame, known: DataFrame) -> DataFrame:
 
     A name is never compared with itself. A suffix with more than COMMON parties is refined with the
     place, with the trade, and with both, and each of these keys is left out only if it still has more;
-    parties are counted exactly. The whole core is a key that is never left out. Names meet by number of
-    their rows; their parts are joined to the distinct pairs only.
+    parties are counted exactly. The whole core is a key that is never left out. Keys and names meet as
+    hashes; the parts are joined to the distinct pairs only.
     """
     def keys(parts: pd.DataFrame) -> pd.Series:
         return pd.Series([_suffixes(p) for p in parts.to_dict("records")], index=parts.index)
@@ -255,13 +255,14 @@ def _match(asked: DataFrame, known: DataFrame) -> DataFrame:
     # narrower keys come behind wider ones; 0 marks the whole core
     narrow = lambda df: df.withColumn("suffix", F.explode(suffixes("parts"))).select(*df.columns, F.posexplode(refined(F.col("suffix"))).alias("level", "key"))
     both = lambda df: narrow(df).select(*df.columns, (F.col("level") + 1).alias("level"), "key").unionByName(df.select("*", F.lit(0).alias("level"), whole.alias("key")))
-    index = cut(both(known.select("name", "code", "parts")).select("level", "key", "name", "code").distinct())
+    hashed = lambda *names: [F.xxhash64(n).alias(n) for n in names]
+    index = cut(both(known.select("name", "code", "parts")).select("level", *hashed("key", "name", "code")).distinct())
     usable = index.where("level > 0").select("key", "code").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("parties")).where(F.col("parties") <= COMMON).select("key")
-    left = index.where("level > 0").join(usable, "key", "left_semi").unionByName(index.where("level = 0")).select("key", F.col("name").alias("source"), "code")
-    right = both(asked.select("name", "parts")).select("key", "name")
-    met = right.join(left, "key").where("name <> source").select("name", "source", "code").distinct()
-    parts = lambda df, name, as_: df.select(F.col("name").alias(name), F.col("parts").alias(as_))
-    pairs = met.join(parts(asked, "name", "a"), "name").join(parts(known, "source", "b"), "source")
+    left = index.where("level > 0").join(usable, "key", "left_semi").unionByName(index.where("level = 0")).select("key", F.col("name").alias("source"))
+    right = both(asked.select("name", "parts")).select(*hashed("key", "name"))
+    met = right.join(left, "key").where("name <> source").select(F.col("name").alias("asked_id"), F.col("source").alias("known_id")).distinct()
+    pairs = met.join(asked.select(F.xxhash64("name").alias("asked_id"), "name", F.col("parts").alias("a")), "asked_id")
+    pairs = pairs.join(known.select(F.xxhash64("name").alias("known_id"), "code", F.col("parts").alias("b")), "known_id").select("name", "code", "a", "b")
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
         return pd.Series([score(x, y) for x, y in zip(a.to_dict("records"), b.to_dict("records"))], index=a.index, dtype="float64")
