@@ -45,7 +45,7 @@ ALWAYS = 0.5
 #: Words a trie holds at most, queries against it in one task.
 SHARD, QUERIES = 200_000, 20_000
 #: Bits of the filters sent to all tasks: so many for each key, between the least and the most (16 MB).
-BITS_A_KEY, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 27
+BITS_A_KEY, LEAST_BITS, MOST_BITS = 64, 1 << 16, 1 << 27
 #: Signs taken together, places tested at once: so memory follows neither the batch nor the longest line.
 SIGNS, PLACES = 1_000_000, 200_000
 #: Signs that are looked for one by one.
@@ -313,10 +313,13 @@ def _hashed(keys: list[str]) -> np.ndarray:
 
 
 def bit_filter(hashed: DataFrame) -> np.ndarray:
-    """A filter over the hashes of ``h``: its size follows their number up to MOST_BITS, so it may be sent to all tasks."""
+    """A filter over the hashes of ``h``: its size follows their number up to MOST_BITS, so it may be sent to all tasks.
+
+    A hash marks two bits, one by its lower and one by its upper half.
+    """
     n = hashed.count()
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_KEY * n).bit_length()))
-    words = hashed.select(F.expr(f"h & {bits - 1}L").alias("b")).select(F.shiftright("b", 5).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 32).cast("int")).alias("m"))
+    words = hashed.select(F.explode(F.array(F.expr(f"h & {bits - 1}L"), F.expr(f"shiftrightunsigned(h, 32) & {bits - 1}L"))).alias("b")).select(F.shiftright("b", 5).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 32).cast("int")).alias("m"))
     rows = words.groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()  # at most MOST_BITS / 32 rows
     out = np.zeros(bits // 32, dtype=np.uint32)
     out[rows["w"].to_numpy(dtype=np.int64)] = rows["m"].to_numpy(dtype=np.int64).astype(np.uint32)
@@ -325,8 +328,11 @@ def bit_filter(hashed: DataFrame) -> np.ndarray:
 
 def held(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which hashes the filter holds."""
-    b = (hashes & np.uint64(len(table) * 32 - 1)).astype(np.int64)
-    return ((table[b >> 5] >> (b & 31).astype(np.uint32)) & 1).astype(bool)
+    def marked(half: np.ndarray) -> np.ndarray:
+        b = (half & np.uint64(len(table) * 32 - 1)).astype(np.int64)
+        return ((table[b >> 5] >> (b & 31).astype(np.uint32)) & 1).astype(bool)
+
+    return marked(hashes) & marked(hashes >> np.uint64(32))
 
 
 def bad_numbers(plain: str) -> list[tuple[int, str]]:
