@@ -215,7 +215,7 @@ def _entries(reference: DataFrame) -> list[tuple[int, str]]:
 def learned_aliases(df: DataFrame, field: str, reference: DataFrame, same: Column, given: DataFrame | None = None) -> list[tuple[int, str]]:
     """(ref_id, alias) learned from records with equal ``same``: they describe one thing.
 
-    Counted over all records. A thing counts if the names and aliases mentioned by its records
+    Counted over all records. Forms with digits tell numbers or pages rather than kinds and aren't learned. A thing counts if the names and aliases mentioned by its records
     are of one entry; each other form of its records is then a vote for that entry. A null
     ``same`` is no thing. At most 1 / VOTES_SHARE aliases can reach the least share of votes.
     """
@@ -230,7 +230,7 @@ def learned_aliases(df: DataFrame, field: str, reference: DataFrame, same: Colum
     forms.__annotations__ = {"values": pd.Series, "return": pd.Series}
     said = df.select(same.alias("thing"), F.col(field).alias("value")).where(
         F.col("thing").isNotNull() & F.col("value").isNotNull() & ~F.col("value").isin(*SENTINELS))
-    said = cut(said.distinct().select("thing", F.pandas_udf(forms, "string")("value").alias("form")).where("form <> ''").distinct())
+    said = cut(said.distinct().select("thing", F.pandas_udf(forms, "string")("value").alias("form")).where("form <> '' AND NOT form RLIKE '[0-9]'").distinct())
     several = said.groupBy("thing").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("thing")
     said = cut(said.join(several, "thing", "left_semi"))
     distinct = cut(said.select("form").distinct())
