@@ -85,7 +85,7 @@ def pages_written(spark, d):
     here = scratch(spark, "pages")
     rows = table(spark, d, "scan_files").where("tier = 0").select("scan_id").join(table(spark, d, "ocr_lines"), "scan_id").where("text <> ''")
     sinks.write_pages(rows.select("scan_id", F.struct("page_no", "line_idx", "line_id").alias("para_no"), "text"), here)
-    return spark.read.text(here, wholetext=True).select("scan_id", F.length("value").alias("chars"))
+    return spark.read.text(here, wholetext=True).select(F.col("scan_id").cast("bigint").alias("scan_id"), F.length("value").alias("chars"))
 
 
 def file_limits(spark, d):
@@ -104,13 +104,13 @@ QUERIES = {f.__name__: f for f in (
     log_files, log_listing, history_kept, history_missing, usage_read, tab_lines, detail_read, lines_appended, pages_written, file_limits, file_manifest)}
 ORACLE = {
     "log_files": batch._CALLS + "SELECT * FROM daily",
-    "log_listing": "SELECT 1 AS included, 1 AS excluded, CAST(sum(strlen(coalesce(raw_line, '')) + 1) AS BIGINT) AS shortest FROM access_log",
+    "log_listing": "SELECT CAST(1 AS BIGINT) AS included, CAST(1 AS BIGINT) AS excluded, CAST(sum(strlen(coalesce(raw_line, '')) + 1) AS BIGINT) AS shortest FROM access_log",
     "history_kept": batch._CALLS + "SELECT * FROM daily",
-    "history_missing": "SELECT 0 AS n",
+    "history_missing": "SELECT CAST(0 AS BIGINT) AS n",
     "usage_read": batch._CALLS + "SELECT day, name, n FROM tools",
     "tab_lines": "SELECT text, count(*) AS n, round(sum(x), 6) AS x, round(sum(height), 6) AS height FROM ocr_lines WHERE text IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND width IS NOT NULL AND height IS NOT NULL AND NOT contains(text, chr(9)) GROUP BY text",
     "detail_read": f"WITH {_BLOCKS} SELECT scan_id || '|' || page_no AS key, label, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM b WHERE page_no % 7 <> 6 GROUP BY ALL",
-    "lines_appended": "SELECT doc_id, 2 * count(*) AS n, min(length(text)) AS chars FROM documents WHERE source = 'feedback_form' GROUP BY doc_id",
+    "lines_appended": "SELECT doc_id, 2 * count(*) AS n, CAST(min(length(text)) AS INT) AS chars FROM documents WHERE source = 'feedback_form' GROUP BY doc_id",
     "pages_written": "SELECT scan_id, CAST(sum(length(text)) + 2 * (count(*) - 1) + 1 AS INT) AS chars FROM scan_files JOIN ocr_lines USING (scan_id) WHERE tier = 0 AND text <> '' GROUP BY scan_id",
     "file_limits": "SELECT scan_id, CASE WHEN page_count IS NULL THEN 'unknown' WHEN page_count <= 0 THEN 'empty' WHEN page_count > 80 THEN 'too long' WHEN page_count > 50 THEN 'only in parts' END AS refused FROM scan_files",
     "file_manifest": "WITH t AS (SELECT string_agg(text || chr(10), '' ORDER BY doc_id) AS t FROM documents WHERE source = 'glossary' AND text IS NOT NULL) SELECT CAST(strlen(t) AS BIGINT) AS size, sha256(t) AS sha256 FROM t",
